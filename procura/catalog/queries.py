@@ -63,7 +63,7 @@ def _dim(spark: SparkSession, d: str, by: str = "supplier") -> DataFrame:
     return summary.supplier_dim(fact(spark, d, by))
 
 
-def _workbooks(spark: SparkSession, d: str) -> list[str]:
+def _workbooks(spark: SparkSession, d: str) -> dict[int, str]:
     """The fact as CSV workbooks under the shared folder, written once per application."""
     root = f"{shared_folder(spark)}/workbooks"
     done = staged(
@@ -71,7 +71,7 @@ def _workbooks(spark: SparkSession, d: str) -> list[str]:
         lambda: (_write_workbooks(spark, d, root), wide(spark, d).select("ANO").distinct())[1],
     )
     years = sorted(r.ANO for r in done.collect())  # one row per calendar year
-    return [f"{root}/{_mark(d)}/_book=COMPRAS {y}" for y in years]
+    return {y: f"{root}/{_mark(d)}/_book=COMPRAS {y}" for y in years}
 
 
 def _mark(d: str) -> str:
@@ -104,7 +104,7 @@ def ingest_union(spark, d):
 
 @query
 def source_contract(spark, d):
-    found = [sheets.validate_workbook(spark, w) for w in _workbooks(spark, d)]
+    found = [sheets.validate_workbook(spark, w) for w in _workbooks(spark, d).values()]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -7,6 +7,7 @@ Sheets with the same header are read by one scan over all their files.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -53,13 +54,13 @@ def _provenance(path: Column) -> tuple[Column, Column]:
     return F.regexp_extract(plain, _PATH_PARTS, 1), F.regexp_extract(plain, _PATH_PARTS, 2)
 
 
-def list_sheets(spark: SparkSession, workbook: str) -> list[Sheet]:
-    """Sheets of one workbook folder with their raw headers. Only names and headers are read."""
+def list_sheets(spark: SparkSession, *workbooks: str) -> list[Sheet]:
+    """Sheets of the workbook folders with their raw headers. Only names and headers are read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{csv,parquet}")
-        .load(workbook)
+        .load(list(workbooks))
         .select(F.col("_metadata.file_path").alias("path"))
     )
     plain = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
@@ -74,7 +75,7 @@ def list_sheets(spark: SparkSession, workbook: str) -> list[Sheet]:
         columns = reader.format(row.kind).load(row.path).columns
         return Sheet(row.workbook, row.name, row.path, row.kind, tuple(columns))
 
-    found = sorted(places.toLocalIterator(), key=lambda r: r.name)
+    found = sorted(places.toLocalIterator(), key=lambda r: (r.workbook, r.name))
     with ThreadPoolExecutor(8) as pool:
         return list(pool.map(with_header, found))
 
@@ -152,11 +153,9 @@ def scan_workbooks(
 
     A dict gives the year of each workbook; a list takes it from the folder names.
     """
-    import re
-
     known = workbooks if isinstance(workbooks, dict) else {None: p for p in workbooks}
     paths = list(workbooks.values()) if isinstance(workbooks, dict) else list(workbooks)
-    sheets = [s for p in paths for s in list_sheets(spark, p) if re.match(pattern, s.name.strip().upper())]
+    sheets = [s for s in list_sheets(spark, *paths) if re.match(pattern, strip_upper(s.name))]
     raw = read_sheets(spark, sheets)
     if isinstance(workbooks, dict):
         title = lambda path: path.rstrip("/").split("/")[-1].split("=")[-1]
@@ -221,8 +220,6 @@ def strip_upper(name: str) -> str:
 
 def year_clashes(workbooks: list[str]) -> dict[str, list[str]]:
     """Workbooks that name the same year; all of them are kept when scanned as a list."""
-    import re
-
     by_year: dict[str, list[str]] = defaultdict(list)
     for path in workbooks:
         match = re.search(r"20\d{2}", path.rstrip("/").split("/")[-1])
