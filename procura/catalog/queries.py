@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,8 +103,7 @@ def ingest_union(spark, d):
 
 @query
 def source_contract(spark, d):
-    found = [sheets.validate_workbook(spark, w) for w in _workbooks(spark, d).values()]
-    return reduce(DataFrame.unionByName, found)
+    return sheets.validate_workbooks(spark, list(_workbooks(spark, d).values()))
 
 
 @query

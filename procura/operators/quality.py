@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from procura.functions.numeric import half_even
+from procura.functions.numeric import grouped, half_even
 from procura.operators.summary import annual_comparison
 from procura.schema import FACT_KEY, STATUS_LOST, STATUS_NEW
 
@@ -86,7 +86,7 @@ def report(wide: DataFrame, fact: DataFrame, consolidated: DataFrame, year_a: in
         rows(fact.select(c).distinct().dropna(), section, F.col(c), F.lit(None).cast("string"))
         for section, c in (("FILIAIS", "FILIAL"), ("ANOS", "ANO"), ("COMPRADORES", "CODCOMPRADOR"))
     ]
-    sums = fact.dropna(subset=["ANO", "FILIAL"]).groupBy("ANO", "FILIAL").agg(F.sum("VALOR").alias("v"))
+    sums = grouped(fact, "ANO", "FILIAL").agg(F.sum("VALOR").alias("v"))
     status = annual_comparison(fact, year_a, year_b).filter(F.col("STATUS").isin(STATUS_NEW, STATUS_LOST))
     findings = check(wide, fact)
     parts = [

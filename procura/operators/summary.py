@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.functions.labels import branch_label, month_label
-from procura.functions.numeric import grouped, half_even, mean, ratio_or, sample_std, total
+from procura.functions.numeric import grouped, half_even, mean, ratio_or, sample_std, total, without_nulls
 from procura.functions.text import first_two_words
 from procura.schema import (
     BLANK_NAMES,
@@ -39,7 +39,7 @@ def supplier_dim(fact: DataFrame) -> DataFrame:
     Counts per (supplier, names) come first, so the second step sees one row per spelling.
     """
     spellings = (
-        fact.dropna(subset=["CODFORNEC"])
+        without_nulls(fact, "CODFORNEC")
         .groupBy("CODFORNEC", "FORNECEDOR", "FANTASIA")
         .agg(F.count("*").alias("n"))
     )
@@ -99,7 +99,7 @@ def annual_comparison(fact: DataFrame, year_a: int, year_b: int, years: list[int
     def of_year(year: int) -> Column:
         return F.coalesce(F.sum(F.when(F.col("ANO") == year, F.col("VALOR"))).cast("double"), F.lit(0.0))
 
-    sums = grouped(fact.dropna(subset=["ANO"]), "CODFORNEC").agg(*[of_year(y).alias(f"TOTAL_{y}") for y in years])
+    sums = grouped(without_nulls(fact, "ANO"), "CODFORNEC").agg(*[of_year(y).alias(f"TOTAL_{y}") for y in years])
     old, new = F.col(f"TOTAL_{year_a}"), F.col(f"TOTAL_{year_b}")
     pct = F.when(old > 0, (F.try_divide(new, old) - 1) * 100)
     return sums.select(

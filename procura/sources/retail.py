@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from procura.functions.labels import month_name
 from procura.functions.text import clean_text, first_two_words
 from procura.schema import AMOUNT, FACT_COLUMNS, MONTHS
-from procura.sources.tables import read_table, staged
+from procura.sources.tables import in_fact_order, read_table, staged
 
 
 def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,8 @@ def build_fact(spark: SparkSession, sf_dir: str, by: str = "supplier") -> DataFr
 
 def fact(spark: SparkSession, sf_dir: str, by: str = "supplier") -> DataFrame:
     """The fact, written once per application by year; queries then read and prune it."""
-    table = staged(spark, sf_dir, f"fact-{by}", lambda: build_fact(spark, sf_dir, by), ["ANO"])
+    build = lambda: in_fact_order(build_fact(spark, sf_dir, by))
+    table = staged(spark, sf_dir, f"fact-{by}", build, ["ANO"])
     return table.select(*FACT_COLUMNS)
 
 

@@ -164,54 +164,57 @@ def scan_workbooks(
     return wide_table(raw, strict)
 
 
-def sheet_row_counts(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
-    return read_sheets(spark, sheets).groupBy("WORKBOOK", "SHEET").agg(F.count("*").alias("LINHAS"))
-
-
-def validate_workbook(
-    spark: SparkSession, workbook: str, expected: list[str] = EXPECTED_SHEETS
-) -> DataFrame:
-    """Findings of one workbook: WORKBOOK, ANO, ORDEM, NIVEL, MENSAGEM, LINHAS, OK.
-
-    The checks stop at the first error. Rows are counted for expected sheets only.
-    """
-    sheets = list_sheets(spark, workbook)
-    title = sheets[0].workbook if sheets else workbook.rstrip("/").split("/")[-1]
+def _contract_findings(sheets: list[Sheet], expected: list[str]) -> list[tuple[str, str]]:
+    """Findings from names and headers alone. The checks stop at the first error."""
     names = [strip_upper(s.name) for s in sheets]
-    found: list[tuple[str, str]] = []
     missing = [e for e in expected if e not in names]
     if missing:
-        found.append(("ERRO", f"Abas faltando: {missing}. Esperado: {expected}"))
-    else:
-        for sheet, name in zip(sheets, names):
-            if name not in expected:
-                found.append(("AVISO", f"Aba ignorada: {sheet.name}"))
-                continue
-            absent = sorted(set(REQUIRED_COLUMNS) - set(sheet.headers))
-            if absent:
-                found.append(("ERRO", f"Aba '{sheet.name}' sem colunas: {absent}"))
-                break
-            if not set(MONTHS) & set(sheet.headers):
-                found.append(("ERRO", f"Aba '{sheet.name}' sem coluna de mês ({MONTHS[0]}..{MONTHS[-1]})"))
-                break
-    ok = not any(level == "ERRO" for level, _ in found)
+        return [("ERRO", f"Abas faltando: {missing}. Esperado: {expected}")]
+    found = []
+    for sheet, name in zip(sheets, names):
+        if name not in expected:
+            found.append(("AVISO", f"Aba ignorada: {sheet.name}"))
+            continue
+        absent = sorted(set(REQUIRED_COLUMNS) - set(sheet.headers))
+        if absent:
+            return [*found, ("ERRO", f"Aba '{sheet.name}' sem colunas: {absent}")]
+        if not set(MONTHS) & set(sheet.headers):
+            return [*found, ("ERRO", f"Aba '{sheet.name}' sem coluna de mês ({MONTHS[0]}..{MONTHS[-1]})")]
+    return found
+
+
+def validate_workbooks(spark: SparkSession, workbooks: list[str], expected: list[str] = EXPECTED_SHEETS) -> DataFrame:
+    """Findings per workbook: WORKBOOK, ANO, ORDEM, NIVEL, MENSAGEM, LINHAS, OK.
+
+    Rows of the expected sheets of all sound workbooks are counted by one scan.
+    """
+    by_book: dict[str, list[Sheet]] = {w.rstrip("/").split("/")[-1].split("=")[-1]: [] for w in workbooks}
+    for sheet in list_sheets(spark, *workbooks):
+        by_book.setdefault(sheet.workbook, []).append(sheet)
+    findings = {book: _contract_findings(sheets, expected) for book, sheets in by_book.items()}
+    failed = {book for book, found in findings.items() if any(level == "ERRO" for level, _ in found)}
+    notes = [
+        (book, i, level, text, 0, book not in failed)
+        for book, found in findings.items()
+        for i, (level, text) in enumerate(found)
+    ]
     lines = spark.createDataFrame(
-        [(title, i, level, text) for i, (level, text) in enumerate(found)],
-        "WORKBOOK string, ORDEM int, NIVEL string, MENSAGEM string",
-    ).withColumn("LINHAS", F.lit(0).cast("long"))
-    if ok:
-        good = [s for s, n in zip(sheets, names) if n in expected]
-        rows = read_sheets(spark, good).agg(F.count("*").alias("LINHAS"))
-        passed = rows.select(
-            F.lit(title).alias("WORKBOOK"),
-            F.lit(len(found)).alias("ORDEM"),
-            F.lit("OK").alias("NIVEL"),
-            F.concat(F.lit("Padrão validado · "), F.col("LINHAS").cast("string"),
-                     F.lit(f" linhas · {len(expected)} filiais")).alias("MENSAGEM"),
-            "LINHAS",
+        notes, "WORKBOOK string, ORDEM int, NIVEL string, MENSAGEM string, LINHAS long, OK boolean"
+    )
+    good = [s for b, sheets in by_book.items() if b not in failed for s in sheets if strip_upper(s.name) in expected]
+    if good:
+        place = F.create_map(*[F.lit(x) for b in by_book if b not in failed for x in (b, len(findings[b]))])
+        passed = read_sheets(spark, good).groupBy("WORKBOOK").agg(F.count("*").alias("LINHAS"))
+        text = F.concat(
+            F.lit("Padrão validado · "), F.col("LINHAS").cast("string"), F.lit(f" linhas · {len(expected)} filiais")
+        )
+        lines = lines.unionByName(
+            passed.select(
+                "WORKBOOK", place[F.col("WORKBOOK")].alias("ORDEM"), F.lit("OK").alias("NIVEL"), text.alias("MENSAGEM"),
+                "LINHAS", F.lit(True).alias("OK"),
+            )
         )
-        lines = lines.unionByName(passed)
-    return lines.withColumn("ANO", year_in_name(F.col("WORKBOOK"))).withColumn("OK", F.lit(ok))
+    return lines.withColumn("ANO", year_in_name(F.col("WORKBOOK")))
 
 
 def strip_upper(name: str) -> str:

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from procura.schema import FACT_ORDER
+
 _lock = threading.RLock()
 
 
@@ -68,19 +70,20 @@ def staged(
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Overwrite every table of the bundle; a table with 'ANO' and 'MES_NUM' rows is the fact."""
+    """Overwrite every table of the bundle."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def write_fact(fact: DataFrame, path: str, refresh: bool = False) -> None:
-    """Fact sink, one folder per year. refresh replaces only the years present in `fact`.
+def in_fact_order(fact: DataFrame) -> DataFrame:
+    """Range-partitioned and sorted by the fact order: each file holds one stretch of one or two
+    years, and its row groups carry tight min/max ranges for pushed-down filters."""
+    return fact.repartitionByRange(*FACT_ORDER).sortWithinPartitions(*FACT_ORDER)
 
-    Range partitioning by the fact order puts each file in one stretch of one year,
-    and row groups carry tight min/max ranges for pushed-down filters.
-    """
-    order = ["ANO", "FILIAL", "CODFORNEC", "MES_NUM"]
-    writer = fact.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
+
+def write_fact(fact: DataFrame, path: str, refresh: bool = False) -> None:
+    """Fact sink, one folder per year. refresh replaces only the years present in `fact`."""
+    writer = in_fact_order(fact).write.mode("overwrite")
     if refresh:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("ANO").parquet(path)
