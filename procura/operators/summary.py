@@ -156,7 +156,7 @@ def yoy_headline(fact: DataFrame, year_a: int, year_b: int) -> DataFrame:
         "TOTAL_B",
         half_even(pct).alias("VAR_PCT"),
         F.when(pct >= 0, "up").when(pct < 0, "down").otherwise("neutral").alias("DIRECAO"),
-        F.concat(F.format_string("%+.1f", pct), F.lit(f"% vs {year_a}")).alias("TEXTO"),
+        F.when(pct.isNotNull(), F.concat(F.format_string("%+.1f", pct), F.lit(f"% vs {year_a}"))).alias("TEXTO"),
     )
 
 
