@@ -19,23 +19,25 @@ from pyspark.sql import functions as F
 from procura.sources.tables import durable
 
 _RANGE = "_range"
+WANT = ("POS", "ACUM", "ANTERIOR")
 
 
-def bounded_scan(df: DataFrame, series: list[str], order: list[Column], value: str) -> DataFrame:
-    """Adds POS (0-based), ACUM (running sum) and ANTERIOR (previous value) per series."""
+def bounded_scan(df: DataFrame, series: list[str], order: list[Column], value: str, want: tuple = WANT) -> DataFrame:
+    """Adds POS (0-based), ACUM (running sum) and ANTERIOR (previous value) per series, as wanted."""
     ordered = Window.partitionBy(*series).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("POS", F.row_number().over(ordered).cast("long") - 1)
-        .withColumn("ACUM", F.sum(value).over(running))
-        .withColumn("ANTERIOR", F.lag(value).over(ordered))
-    )
+    added = {
+        "POS": F.row_number().over(ordered).cast("long") - 1,
+        "ACUM": F.sum(value).over(running),
+        "ANTERIOR": F.lag(value).over(ordered),
+    }
+    return df.withColumns({c: added[c] for c in WANT if c in want})
 
 
-def ranged_scan(df: DataFrame, series: list[str], order: list[Column], value: str) -> DataFrame:
+def ranged_scan(df: DataFrame, series: list[str], order: list[Column], value: str, want: tuple = WANT) -> DataFrame:
     """Same columns as bounded_scan, for series of any length. `order` must be total."""
     cut = df.repartitionByRange(*[F.col(c) for c in series], *order).withColumn(_RANGE, F.spark_partition_id())
-    local = durable(bounded_scan(cut, [*series, _RANGE], order, value))
+    local = durable(bounded_scan(cut, [*series, _RANGE], order, value, (*want, "POS")))
 
     in_series = Window.partitionBy(*series)
     earlier = in_series.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
@@ -53,15 +55,17 @@ def ranged_scan(df: DataFrame, series: list[str], order: list[Column], value: st
         )
     )
     first = F.col("POS") == 0
+    carried = {
+        "POS": F.col("POS") + F.coalesce("_n0", F.lit(0)),
+        "ACUM": F.when(F.col("_s0").isNull(), F.col("ACUM")).otherwise(F.coalesce("ACUM", F.lit(0)) + F.col("_s0")),
+        "ANTERIOR": F.when(first, F.col("_last0")).otherwise(F.col("ANTERIOR")),
+    }
     return local.join(F.broadcast(carry), [*series, _RANGE], "left").select(
-        *df.columns,
-        (F.col("POS") + F.coalesce("_n0", F.lit(0))).alias("POS"),
-        F.when(F.col("_s0").isNull(), F.col("ACUM"))
-        .otherwise(F.coalesce("ACUM", F.lit(0)) + F.col("_s0"))
-        .alias("ACUM"),
-        F.when(first, F.col("_last0")).otherwise(F.col("ANTERIOR")).alias("ANTERIOR"),
+        *df.columns, *[carried[c].alias(c) for c in WANT if c in want]
     )
 
 
-def scan(df: DataFrame, series: list[str], order: list[Column], value: str, bounded: bool) -> DataFrame:
-    return (bounded_scan if bounded else ranged_scan)(df, series, order, value)
+def scan(
+    df: DataFrame, series: list[str], order: list[Column], value: str, bounded: bool, want: tuple = WANT
+) -> DataFrame:
+    return (bounded_scan if bounded else ranged_scan)(df, series, order, value, want)
