@@ -12,6 +12,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+from pyspark.sql import SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -63,7 +64,8 @@ def main():
     from procura.session import local_session
 
     folder = f"/root/testdata/{sys.argv[1] if len(sys.argv) > 1 else 'sf0.01'}"
-    spark = local_session("8")
+    plain_session = os.environ.get("PLAIN")  # Spark's own defaults, as a caller may bring them
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if plain_session else local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, queries = connect(folder), entry.oracle_sql(), entry.queries()
     bad = 0
