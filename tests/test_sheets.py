@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procura.operators import profile, summary
-from procura.plans import etl, ml
+from procura.plans import bundle, etl, ml
 from procura.schema import FACT_COLUMNS, WIDE_COLUMNS
 from procura.sources import sheets
 from procura.sources.tables import optional_table, read_table, write_csv, write_fact
@@ -108,6 +108,13 @@ def test_load_and_analytics_runs(spark, tmp_path):
     assert optional_table(spark, staging, "nada") is None
     assert optional_table(spark, staging, "clusters").count() == 8
 
+    tables = bundle.load(spark, staging)
+    assert bundle.has_analytics(tables) and set(tables) == {*bundle.REQUIRED, *bundle.OPTIONAL}
+    bundle.export_filtered(
+        tables, f"{outputs}/filtrado.csv", years=[2026], branches=[1, 2], buyers=["C0", "C1"], months=["JANEIRO"], suppliers=[3]
+    )
+    assert spark.read.option("header", True).csv(f"{outputs}/filtrado.csv").count() == 2
+
     # a rerun for one year leaves the other alone
     only = fact.filter("ANO = 2026").withColumn("VALOR", F.lit(1).cast("decimal(18,2)")).select(*FACT_COLUMNS)
     write_fact(spark.createDataFrame(only.collect(), only.schema), f"{staging}/fato_compras.parquet", refresh=True)
