@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 import __spark_entry__ as entry
 from compare import canonical
 from procura.operators import concentration, forecast
-from test_rules import reference_projection
+from test_rules import projection_by_definition
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [
@@ -43,7 +43,7 @@ def test_projection_of_any_series(make_fact, series):
     ]
     got = {r.CODFORNEC: r for r in forecast.forecast_series(make_fact(rows), bounded=True).collect()}
     for s, vs in enumerate(series):
-        want = reference_projection([v / 100 for v in vs])
+        want = projection_by_definition([v / 100 for v in vs])
         assert [got[s][c] for c in forecast.PROJECTION] == pytest.approx(want, rel=1e-9, abs=1e-6)
         assert got[s].ic_inf <= got[s].ensemble + 1e-9 <= got[s].ic_sup + 2e-9
 

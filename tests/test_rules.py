@@ -229,7 +229,7 @@ def test_empty_lists(spark, make_fact):
 # --- forecast -------------------------------------------------------------------------------
 
 
-def reference_projection(v):
+def projection_by_definition(v):
     """The projection by definition, for one list."""
     n = len(v)
     mean = sum(v) / n
@@ -256,7 +256,7 @@ def test_projection(spark, make_fact, bounded):
     rows = [(2025 + i // 12, 1, s, "N", i % 12 + 1, str(v)) for s, vs in SERIES.items() for i, v in enumerate(vs)]
     got = {r.CODFORNEC: r for r in forecast.forecast_series(make_fact(rows), bounded).collect()}
     for s, vs in SERIES.items():
-        assert [got[s][c] for c in forecast.PROJECTION] == pytest.approx(reference_projection(vs)), s
+        assert [got[s][c] for c in forecast.PROJECTION] == pytest.approx(projection_by_definition(vs)), s
         assert got[s].ic_inf <= got[s].ensemble + 1e-9
     assert {(r.ANO, r.MES_NUM, r.MES) for r in got.values()} == {(2025, 8, "AGOSTO")}
 
