@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, minhash, pii, sentencepieces, toxicity
+from procura.llm import chat, decontaminate, embeddings, minhash, pii, secrets, sentencepieces, toxicity, urls
 
 #: A stand-in for the secret that a deployment keeps elsewhere.
 PII_KEY = "public test key"
@@ -21,6 +21,18 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.drop("text")
 
 
+def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, folder, "embeddings"))
+
+
+#: Verdict and rule, as host/path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_read(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+
+
 def digests(encoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, the digests of ids and decoded, and other columns wanted."""
     return encoded.select(
@@ -37,6 +49,19 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return digests(sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(_read(spark, folder, "documents"))
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", line), ",").alias("spans"),
+    )
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, folder, "documents"), 85)
 
@@ -68,6 +93,34 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_toxicity, op4_sentencepiece, op6_minhash, op8_decontamination, op9_chat, op10_pii)
+    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op8_decontamination, op9_chat, op10_pii)
+}
+SQL = {
+    "op2_embeddings": """
+with recursive v as (select vec_id, [x::double for x in embedding] as e from embeddings),
+u as (
+  select vec_id, e, sqrt(list_dot_product(e, e)) as n from v
+  where len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from u as a join u as b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reach as r join links as l on r.b = l.a)
+select v.vec_id, (select count(*) from links where links.a = v.vec_id) as n_links,
+  (select min(b) from reach where reach.a = v.vec_id) as component_id,
+  v.vec_id = (select min(b) from reach where reach.a = v.vec_id) as kept
+from v""",
+    "op6_minhash": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] end) as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from x as a join x as b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach as r join links as l on r.b = l.a),
+least as (select a, min(b) as b from reach group by a)
+select doc_id, len(s)::bigint as n_shingles, b as component_id, doc_id = b as kept from s join least on a = doc_id""",
 }
-SQL: dict[str, str] = {}
