@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, embeddings, minhash, pii, secrets, sentencepieces, toxicity, urls
+from procura.llm import chat, decontaminate, embeddings, minhash, pii, secrets, sentencepieces, toxicity, urls, webpages
 
 #: A stand-in for the secret that a deployment keeps elsewhere.
 PII_KEY = "public test key"
@@ -66,6 +66,10 @@ def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, folder, "documents"), 85)
 
 
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    return webpages.extract(_read(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminations(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -93,7 +97,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op8_decontamination, op9_chat, op10_pii)
+    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii)
 }
 SQL = {
     "op2_embeddings": """
