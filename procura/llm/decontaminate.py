@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates.
 
 Method. Words are lower-cased; numbers, units and names become typed placeholders (a name is a capitalised word, not all
-in capitals, that does not begin a sentence). Windows of `WINDOW_WORDS` canonical words with at least `LITERAL` plain words are
+in capitals, that does not begin a sentence). A second form leaves names as they are, since text all in capitals shows none. Windows of `WINDOW_WORDS` canonical words with at least `LITERAL` plain words are
 hash-joined with the windows of the benchmark items. A hit counts if its slots are consistent: over all hits of a
 document with an item on one alignment, equal values in the item stand against equal values in the document, and
 different against different. Items re-asked with other numbers, names or units are found too and marked.
@@ -50,8 +50,8 @@ def _unit_hashes() -> np.ndarray:
     return np.unique(np.concatenate([w.hashes() for w in windows(buffer, ALNUM)]))
 
 
-def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical hash, value hash or 0 for plain words, row start of words) of all words."""
+def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical hash, own hash, kind: 0 plain, 1 name, 2 number or unit; row start of words) of all words."""
     data, offsets = buffer
     folded = data
     accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
@@ -65,7 +65,7 @@ def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         borders = offsets[(offsets > 0) & (offsets < len(data))]
         inner[borders] = False
         inner[borders - 1] = False
-    units, hashes, values, begins, before = _unit_hashes(), [], [], [], 0
+    units, hashes, values, kinds, begins, before = _unit_hashes(), [], [], [], [], 0
     for words in windows(Buffer(folded, offsets), ALNUM, LOWER, inner):
         own = words.hashes()
         first = data[words.starts]
@@ -84,13 +84,14 @@ def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mark = np.where(number, _MARKS["number"], np.where(unit, _MARKS["unit"], _MARKS["name"]))
         typed = number | unit | name
         hashes.append(np.where(typed, mark, own))
-        values.append(np.where(typed, own | np.uint64(1), np.uint64(0)))
+        values.append(own)
+        kinds.append(np.where(number | unit, 2, np.where(name, 1, 0)))
         begins.append(words.starts)
         before = int(words.ends[-1]) if len(words.ends) else before
     if not hashes:
         none = np.zeros(0, dtype=np.uint64)
-        return none, none, np.zeros(len(offsets), dtype=np.int64)
-    return np.concatenate(hashes), np.concatenate(values), np.searchsorted(np.concatenate(begins), offsets)
+        return none, none, np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
+    return np.concatenate(hashes), np.concatenate(values), np.concatenate(kinds), np.searchsorted(np.concatenate(begins), offsets)
 
 
 def _bitmap_place(hashes: np.ndarray) -> np.ndarray:
@@ -98,47 +99,46 @@ def _bitmap_place(hashes: np.ndarray) -> np.ndarray:
 
 
 def _windows(lengths: list[int], bitmap: np.ndarray | None, whole_short: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, n_windows, size, place, hash, slots) of the windows of each text; only those in the bitmap if one is
+    """Rows (id, n_windows, size, form, place, hash, slots) of the windows of each text; only those in the bitmap if one is
     given. whole_short: texts shorter than a window have one window of their own length, and no text has others."""
     bits = np.unpackbits(bitmap) if bitmap is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, values, starts = canonical(buffer_of(part.column("text")))
-                plain = np.concatenate([[0], np.cumsum(values == 0)])
+                hashes, own, kinds, starts = canonical(buffer_of(part.column("text")))
                 words = np.diff(starts)
                 row_of = np.repeat(np.arange(len(part)), words)
-                for size in lengths:
-                    rolled = rolling(hashes, size) ^ np.uint64(size)
-                    at = np.arange(len(rolled))
-                    good = (row_of[: len(at)] == row_of[at + size - 1]) & (plain[size:] - plain[: len(at)] >= min(LITERAL, size))
-                    if whole_short and size < WINDOW_WORDS:
-                        good &= words[row_of[: len(at)]] == size
-                    if bits is not None:
-                        good &= bits[_bitmap_place(rolled)] == 1
-                    at = np.flatnonzero(good)
-                    if not len(at):
-                        continue
-                    rows = row_of[at]
-                    slots = values[at[:, None] + np.arange(size)].view(np.int64)
-                    total = np.bincount(rows, minlength=len(part))[rows] if bits is None else np.zeros(len(at), dtype=np.int64)
-                    yield pa.record_batch(
-                        [
-                            part.column("id").take(pa.array(rows)),
-                            pa.array(total),
-                            pa.array(np.full(len(at), size)),
-                            pa.array(at - starts[rows]),
-                            pa.array(rolled[at].view(np.int64)),
-                            pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), size).cast(pa.list_(pa.int64())),
-                        ],
-                        ["id", "n_windows", "size", "place", "hash", "slots"],
-                    )
+                values = np.where(kinds > 0, own | np.uint64(1), np.uint64(0))
+                for form, tokens, literal in ((0, hashes, kinds == 0), (1, own, kinds < 2)):
+                    plain = np.concatenate([[0], np.cumsum(literal)])
+                    for size in lengths:
+                        rolled = rolling(tokens, size) ^ np.uint64(2 * size + form)
+                        at = np.arange(len(rolled))
+                        good = (row_of[: len(at)] == row_of[at + size - 1]) & (plain[size:] - plain[: len(at)] >= min(LITERAL, size))
+                        if whole_short and size < WINDOW_WORDS:
+                            good &= words[row_of[: len(at)]] == size
+                        if bits is not None:
+                            good &= bits[_bitmap_place(rolled)] == 1
+                        at = np.flatnonzero(good)
+                        if not len(at):
+                            continue
+                        rows = row_of[at]
+                        slots = values[at[:, None] + np.arange(size)].view(np.int64)
+                        total = np.bincount(rows, minlength=len(part))[rows] if bits is None else np.zeros(len(at), dtype=np.int64)
+                        yield pa.record_batch(
+                            [
+                                part.column("id").take(pa.array(rows)), pa.array(total), pa.array(np.full(len(at), size)), pa.array(np.full(len(at), form)),
+                                pa.array(at - starts[rows]), pa.array(rolled[at].view(np.int64)),
+                                pa.FixedSizeListArray.from_arrays(pa.array(slots.ravel()), size).cast(pa.list_(pa.int64())),
+                            ],
+                            ["id", "n_windows", "size", "form", "place", "hash", "slots"],
+                        )
 
     return run
 
 
-_FIELDS = "id long, n_windows long, size long, place long, hash long, slots array<long>"
+_FIELDS = "id long, n_windows long, size long, form long, place long, hash long, slots array<long>"
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
@@ -154,14 +154,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     hits = stage(source.mapInArrow(_windows(lengths, bitmap, False), _FIELDS), "windows")
     item = items.select(
-        F.col("id").alias("item_id"), "n_windows", "hash", "size", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
+        F.col("id").alias("item_id"), "n_windows", "hash", "size", "form", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
     )
-    pairs = hits.drop("n_windows").join(item, ["hash", "size"]).select(
-        F.col("id").alias("doc_id"), "item_id", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+    pairs = hits.drop("n_windows").join(item, ["hash", "size", "form"]).select(
+        F.col("id").alias("doc_id"), "item_id", "form", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.filter(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda s: s["x"] != 0).alias("slots"),
     )
     # one row per hit without slots, one per slot otherwise; consistency is a one-to-one map of values per alignment
-    alignment = ["doc_id", "item_id", "n_windows", "shift"]
+    alignment = ["doc_id", "item_id", "form", "n_windows", "shift"]
     flat = pairs.select(*alignment, "item_place", F.explode_outer("slots").alias("s"))
     forward = flat.groupBy(*alignment, "s.x").agg(F.countDistinct("s.y").alias("n"), F.bool_or(F.col("s.x") != F.col("s.y")).alias("other"))
     backward = flat.groupBy(*alignment, "s.y").agg(F.countDistinct("s.x").alias("n"))
@@ -170,9 +170,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     )
     changed = forward.groupBy(*alignment).agg(F.coalesce(F.bool_or("other"), F.lit(False)).alias("reworded"))
     good = pairs.select(*alignment, "item_place").join(broken, alignment, "left_anti").join(changed, alignment)
-    found = good.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("item_place").alias("n_hits"), F.min("reworded").alias("reworded"))
-    part = F.col("n_hits") / F.col("n_windows")
-    return found.filter(part >= share).select("doc_id", "item_id", "n_windows", "n_hits", part.alias("share"), "reworded")
+    found = good.groupBy("doc_id", "item_id", "form", "n_windows").agg(F.countDistinct("item_place").alias("n_hits"), F.min("reworded").alias("reworded"))
+    part = (F.col("n_hits") / F.col("n_windows")).alias("share")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(part, -F.col("form"), "n_windows", "n_hits", "reworded")).alias("b"))
+    return best.filter(F.col("b.share") >= share).select("doc_id", "item_id", "b.n_windows", "b.n_hits", "b.share", "b.reworded")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:

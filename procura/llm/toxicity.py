@@ -6,12 +6,12 @@ will get on new documents. Categories: `insult` and `contempt` are weak labels (
 a seed word of the category), `toxic` is the label itself and decides.
 
 Features: presence of words and of their first 3 to 6 bytes (lower-cased ASCII), hashed into 2^18 slots. Of these
-the `FEATURES` slots with the highest chi-square against the label are kept, so the model has a fixed size. The
+at most `FEATURES` slots with the highest significant chi-square against the label are kept, so the model is bounded. The
 chain is fitted on at most `sample` labelled documents, those with the least hash of their id; this bound also makes
 the ids small enough to broadcast, so fitting moves no texts. Every document is scored.
 
 Defined cases: null or empty text has no features and gets the intercept's probability, but is never rejected;
-null labels and labels of unknown documents are ignored; without both classes in the labels nothing is rejected;
+null labels and labels of unknown documents are ignored; without both classes in the labels or any telling feature nothing is rejected;
 repeated rows are scored one by one; a null id is scored like any other.
 """
 
@@ -28,6 +28,8 @@ from procura.llm.stage import stage
 from procura.llm.words import ALNUM, Buffer, buffer_of, slices, windows
 
 SLOT_BITS, FEATURES, PREFIXES, FOLDS = 18, 4096, (3, 4, 5, 6), 3
+#: Chi-square with one degree of freedom that a feature must exceed: about one chance in two thousand.
+SIGNIFICANT = 12.0
 CATEGORIES = ("insult", "contempt", "toxic")
 #: Seed words of the weak categories.
 SEEDS = {
@@ -83,7 +85,7 @@ class Rows:
         return sparse + self.extra @ weights[FEATURES : FEATURES + k] + weights[-1]
 
 
-def fit_linear(rows: Rows, label: np.ndarray, decay: float = 1e-5, steps: int = 150) -> np.ndarray:
+def fit_linear(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int = 150) -> np.ndarray:
     """Logistic regression by accelerated gradient descent with per-feature step sizes, L2 and a fixed number of steps."""
     k = rows.extra.shape[1]
     weights = np.zeros(FEATURES + k + 1)
@@ -101,7 +103,7 @@ def fit_linear(rows: Rows, label: np.ndarray, decay: float = 1e-5, steps: int =
         gradient = np.concatenate([np.bincount(rows.column, error[rows.row], minlength=FEATURES), rows.extra.T @ error, [error.sum()]]) + decay * weights
         moment = 0.9 * moment + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
-        weights = weights - 0.2 * scale / 8 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+        weights = weights - 0.2 * (1 - (t - 1) / steps) * scale / 8 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     return weights
 
 
@@ -139,7 +141,7 @@ def apply_chain(chain: list[np.ndarray], row: np.ndarray, column: np.ndarray, co
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, list[np.ndarray], float] | None:
-    """(column of each slot, -1 for unused slots; the chain's weights; its threshold), or None if the labels hold one class only."""
+    """(column of each slot, -1 for unused slots; the chain's weights; its threshold), or None if the labels hold one class only or no feature tells them apart."""
     marked = (
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -158,8 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
     a, b = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
     c, d = positive - a, (n - positive) - b
     chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * positive * (n - positive))
-    best = counted.filter(F.col("n") < n).select("slot", chi.alias("chi")).orderBy(F.desc("chi"), "slot").limit(FEATURES)
+    best = counted.filter(F.col("n") < n).select("slot", chi.alias("chi")).filter(F.col("chi") > SIGNIFICANT).orderBy(F.desc("chi"), "slot").limit(FEATURES)
     chosen = np.array(sorted(r.slot for r in best.collect()), dtype=np.int64)
+    if not len(chosen):
+        return None
     columns = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
     columns[chosen] = np.arange(len(chosen))
     used = F.array_intersect("slots", F.lit([int(x) for x in chosen]).cast("array<int>"))
