@@ -48,6 +48,7 @@ filtrado AS (
   AND regexp_extract(CODCOMPRADOR, '[0-9]+$')::INTEGER < 18
   AND MES IN ('JANEIRO','FEVEREIRO','MARCO','ABRIL','JULHO','DEZEMBRO'))"""
 FILTRADO = FATO + FILTER
+TUDO = FATO + ", filtrado AS (SELECT * FROM fato)"
 
 
 def mode(column: str, source: str = "fato") -> str:
@@ -86,14 +87,10 @@ IDS = "ANO, FILIAL, CODFORNEC, FORNECEDOR, FANTASIA, CODCOMPRADOR"
 SQL["wide_scan"] = f"{FATO} SELECT {IDS}, {_wide} FROM fato GROUP BY {IDS}"
 SQL["ingest_union"] = f"""{FATO} SELECT ANO, FILIAL, count(*) AS N_VALORES, count(DISTINCT CODFORNEC) AS N_FORNECEDORES,
   sum(VALOR)::DOUBLE AS TOTAL FROM fato GROUP BY ALL"""
-SQL["source_contract"] = f"""{FATO}, abas AS (SELECT DISTINCT ANO, FILIAL FROM fato),
-linhas_ok AS (SELECT ANO, count(DISTINCT (FILIAL, CODFORNEC)) FILTER (FILIAL <= 4) AS n FROM fato GROUP BY ANO),
-extra AS (SELECT ANO, FILIAL, row_number() OVER (PARTITION BY ANO ORDER BY FILIAL) - 1 AS o FROM abas WHERE FILIAL > 4)
-SELECT 'COMPRAS ' || ANO AS WORKBOOK, o::INTEGER AS ORDEM, 'AVISO' AS NIVEL, 'Aba ignorada: FILIAL ' || FILIAL AS MENSAGEM,
-  0::BIGINT AS LINHAS, CASE WHEN ANO >= 2000 THEN ANO END AS ANO, true AS OK FROM extra
-UNION ALL
-SELECT 'COMPRAS ' || ANO, (SELECT count(*) FROM extra e WHERE e.ANO = l.ANO)::INTEGER, 'OK',
-  'Padrão validado · ' || n || ' linhas · 4 filiais', n, CASE WHEN ANO >= 2000 THEN ANO END, true FROM linhas_ok l"""
+SQL["source_contract"] = f"""{FATO}
+SELECT 'COMPRAS ' || ANO AS WORKBOOK, 0 AS ORDEM, 'OK' AS NIVEL, n || ' linhas em 5 abas' AS MENSAGEM, n AS LINHAS, 17 AS COLUNAS,
+  CASE WHEN ANO >= 2000 THEN ANO END AS ANO, true AS OK
+FROM (SELECT ANO, count(DISTINCT (FILIAL, CODFORNEC)) AS n FROM fato GROUP BY ANO)"""
 SQL["year_from_name"] = """SELECT doc_id, y AS ANO, y IS NOT NULL AS TEM_ANO FROM (
   SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(20[0-9]{2})', 1), '') AS INTEGER) AS y FROM documents)"""
 _types = {
@@ -151,7 +148,7 @@ SQL["new_lost_suppliers"] = f"{FATO_PART}{comp(1999, 2000)} SELECT CODFORNEC, ST
 
 # --- aggregations ---------------------------------------------------------------------------
 
-SQL["kpis"] = f"""{FILTRADO} SELECT sum(VALOR)::DOUBLE AS TOTAL_GERAL, count(DISTINCT CODFORNEC) AS N_FORNECEDORES,
+SQL["kpis"] = f"""{TUDO} SELECT sum(VALOR)::DOUBLE AS TOTAL_GERAL, count(DISTINCT CODFORNEC) AS N_FORNECEDORES,
   sum(VALOR)::DOUBLE / count(DISTINCT CODFORNEC) AS MEDIA_FORNECEDOR,
   sum(VALOR)::DOUBLE / count(DISTINCT (ANO, MES, FILIAL)) AS TICKET_MEDIO FROM filtrado"""
 SQL["consolidated"] = f"""{FATO} SELECT {IDS}, {he("sum(VALOR)::DOUBLE")} AS TOTAL_TRI,
@@ -172,13 +169,13 @@ _rank = """,
 rank AS (SELECT *, CASE WHEN MEDIA_MENSAL > 0 THEN DESVIO / MEDIA_MENSAL ELSE 0 END * 100 AS CV_PCT FROM (
   SELECT CODFORNEC, FANTASIA, sum(VALOR)::DOUBLE AS TOTAL, sum(VALOR)::DOUBLE / count(VALOR) AS MEDIA_MENSAL,
     coalesce(stddev_samp(VALOR::DOUBLE), 0) AS DESVIO, count(*) AS N_REGISTROS FROM filtrado GROUP BY CODFORNEC, FANTASIA))"""
-SQL["supplier_ranking"] = f"""{FILTRADO}{_rank} SELECT CODFORNEC, FANTASIA, TOTAL, {he("MEDIA_MENSAL")} AS MEDIA_MENSAL,
+SQL["supplier_ranking"] = f"""{TUDO}{_rank} SELECT CODFORNEC, FANTASIA, TOTAL, {he("MEDIA_MENSAL")} AS MEDIA_MENSAL,
   {he("DESVIO")} AS DESVIO, N_REGISTROS, {he("CV_PCT")} AS CV_PCT FROM rank"""
-SQL["sum_branch_year"] = f"""{FILTRADO} SELECT FILIAL, ANO, sum(VALOR)::DOUBLE AS VALOR, 'Filial ' || FILIAL AS FILIAL_LBL
+SQL["sum_branch_year"] = f"""{TUDO} SELECT FILIAL, ANO, sum(VALOR)::DOUBLE AS VALOR, 'Filial ' || FILIAL AS FILIAL_LBL
   FROM filtrado GROUP BY FILIAL, ANO"""
-SQL["sum_month_year"] = f"""{FILTRADO} SELECT MES_NUM, ANO, sum(VALOR)::DOUBLE AS VALOR, {SHORT}[MES_NUM] AS MES_LBL
+SQL["sum_month_year"] = f"""{TUDO} SELECT MES_NUM, ANO, sum(VALOR)::DOUBLE AS VALOR, {SHORT}[MES_NUM] AS MES_LBL
   FROM filtrado GROUP BY MES_NUM, ANO"""
-SQL["heat_branch_month_year"] = f"""{FILTRADO} SELECT FILIAL, MES_NUM, ANO, sum(VALOR)::DOUBLE AS VALOR,
+SQL["heat_branch_month_year"] = f"""{TUDO} SELECT FILIAL, MES_NUM, ANO, sum(VALOR)::DOUBLE AS VALOR,
   'Filial ' || FILIAL AS FILIAL_LBL, {SHORT}[MES_NUM] AS MES_LBL FROM filtrado GROUP BY FILIAL, MES_NUM, ANO"""
 SQL["monthly_series"] = f"""{FATO} SELECT DATA, ANO, MES_NUM, sum(VALOR)::DOUBLE AS VALOR, {SHORT}[MES_NUM] AS MES_LBL
   FROM fato GROUP BY DATA, ANO, MES_NUM"""
@@ -216,16 +213,16 @@ SQL["scaled_features"] = f"{FATO}{_feat} SELECT CODFORNEC, " + ", ".join(
 def abc(source: str, keys: str) -> str:
     order = ", ".join(f"{k}" for k in keys.split(", "))
     return f""",
-abc AS (SELECT {keys}, VALOR, v / t * 100 AS PARTICIPACAO_PCT, c / t * 100 AS ACUM_PCT,
+abc AS (SELECT {keys}, POSICAO, VALOR, v / t * 100 AS PARTICIPACAO_PCT, c / t * 100 AS ACUM_PCT,
   CASE WHEN c / t * 100 <= 80 THEN 'A' WHEN c / t * 100 <= 95 THEN 'B' ELSE 'C' END AS CLASSE
-  FROM (SELECT {keys}, s::DOUBLE AS VALOR, s::DOUBLE AS v, sum(s) OVER ()::DOUBLE AS t,
+  FROM (SELECT {keys}, row_number() OVER (ORDER BY s DESC, {order}) AS POSICAO, s::DOUBLE AS VALOR, s::DOUBLE AS v, sum(s) OVER ()::DOUBLE AS t,
           sum(s) OVER (ORDER BY s DESC, {order} ROWS UNBOUNDED PRECEDING)::DOUBLE AS c
         FROM (SELECT {keys}, sum(VALOR) AS s FROM {source} GROUP BY {keys})))"""
 
 
 SQL["abc_curve"] = f"{FATO}{dim()}{abc('fato', 'CODFORNEC')} SELECT abc.*, dim.FANTASIA FROM abc JOIN dim USING (CODFORNEC)"
 SQL["abc_curve_parts"] = f"{FATO_PART}{abc('fato', 'CODFORNEC, FANTASIA')} SELECT * FROM abc"
-_abc_filtered = FILTRADO + abc("filtrado", "CODFORNEC, FANTASIA")
+_abc_filtered = TUDO + abc("filtrado", "CODFORNEC, FANTASIA")
 SQL["abc_summary"] = f"{_abc_filtered} SELECT CLASSE, count(*) AS N, sum(VALOR::DECIMAL(18,2))::DOUBLE AS VALOR FROM abc GROUP BY CLASSE"
 
 SCOPES = """
@@ -260,13 +257,13 @@ FROM s WINDOW w AS (ORDER BY v, CODFORNEC) UNION ALL SELECT 0, 0"""
 
 # --- rankings -------------------------------------------------------------------------------
 
-SQL["top_suppliers"] = f"""{FATO}{dim()} SELECT CODFORNEC, s.VALOR, dim.FANTASIA FROM (
-  SELECT CODFORNEC, sum(VALOR)::DOUBLE AS VALOR FROM fato GROUP BY CODFORNEC ORDER BY sum(VALOR) DESC, CODFORNEC LIMIT 10) s JOIN dim USING (CODFORNEC)"""
-SQL["top_n_total"] = f"""{FILTRADO}, s AS (SELECT CODFORNEC, FANTASIA, sum(VALOR) AS v FROM filtrado GROUP BY ALL)
+SQL["top_suppliers"] = f"""{FATO}{dim()} SELECT CODFORNEC, s.VALOR, POSICAO, dim.FANTASIA FROM (
+  SELECT CODFORNEC, sum(VALOR)::DOUBLE AS VALOR, row_number() OVER (ORDER BY sum(VALOR) DESC, CODFORNEC)::INTEGER AS POSICAO FROM fato GROUP BY CODFORNEC ORDER BY sum(VALOR) DESC, CODFORNEC LIMIT 10) s JOIN dim USING (CODFORNEC)"""
+SQL["top_n_total"] = f"""{TUDO}, s AS (SELECT CODFORNEC, FANTASIA, sum(VALOR) AS v FROM filtrado GROUP BY ALL)
 SELECT count(*) AS EXIBIDOS, (SELECT count(*) FROM s) AS DE, sum(v)::DOUBLE AS TOTAL FROM (SELECT v FROM s ORDER BY v DESC, CODFORNEC, FANTASIA LIMIT 15)"""
 for _name, _dir in (("top_growth", "DESC"), ("top_drop", "ASC")):
     SQL[_name] = f"""{FATO}{comp(1999, 2000)}{dim()} SELECT c.*, dim.FANTASIA FROM (
-  SELECT * FROM comp ORDER BY VAR_ABS {_dir}, CODFORNEC LIMIT 5) c JOIN dim USING (CODFORNEC)"""
+  SELECT *, row_number() OVER (ORDER BY VAR_ABS {_dir}, CODFORNEC)::INTEGER AS POSICAO FROM comp ORDER BY VAR_ABS {_dir}, CODFORNEC LIMIT 5) c JOIN dim USING (CODFORNEC)"""
 SQL["top8_series"] = f"""{FATO} SELECT DATA, FANTASIA, sum(VALOR)::DOUBLE AS VALOR FROM fato WHERE CODFORNEC IN (
   SELECT CODFORNEC FROM fato GROUP BY CODFORNEC ORDER BY sum(VALOR) DESC, CODFORNEC LIMIT 8) GROUP BY DATA, FANTASIA"""
 SQL["branch_composition"] = f"""{FATO}, top AS (SELECT FANTASIA FROM fato GROUP BY FANTASIA ORDER BY sum(VALOR) DESC, FANTASIA LIMIT 10)
@@ -298,27 +295,27 @@ SQL["fmt_brl"] = f"SELECT o_orderkey, {', '.join(f'{brl(n)} AS BRL_{n}, {short_b
 _ENGLISH = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
 SQL["month_labels"] = f"""{FATO} SELECT DISTINCT ANO, MES_NUM, MES, list_position({MONTHS}, MES)::INTEGER AS NUMERO, {SHORT}[MES_NUM] AS MES_LBL,
   {_ENGLISH}[MES_NUM] || '/' || ANO AS PERIODO, {SHORT}[MES_NUM] || '/' || ANO AS ALVO_LBL FROM fato"""
-SQL["supplier_table"] = f"""{FILTRADO}{_rank} SELECT CODFORNEC, FANTASIA, {brl("TOTAL")} AS "Total", {brl(he("MEDIA_MENSAL"))} AS "Media mensal",
-  {brl(he("DESVIO"))} AS "Desvio padrao", {pct("CV_PCT")} AS "CV", N_REGISTROS AS "Registros" FROM rank"""
-SQL["abc_table"] = f"""{_abc_filtered} SELECT CODFORNEC, FANTASIA, {brl("VALOR")} AS "Valor", {pct("PARTICIPACAO_PCT", 2)} AS "Participacao",
-  {pct("ACUM_PCT", 2)} AS "Acumulado", CLASSE AS "Classe" FROM abc"""
-SQL["comparison_table"] = f"""{FATO_PART}{comp(1999, 2000)}{dim()} SELECT CODFORNEC, FANTASIA, {brl("TOTAL_1999")} AS "1999", {brl("TOTAL_2000")} AS "2000",
-  {brl("VAR_ABS")} AS "Var. R$", {pct("VAR_PCT", 2)} AS "Var. %", STATUS AS "Status" FROM comp JOIN dim USING (CODFORNEC)"""
-SQL["concentration_table"] = f"""{_conc} SELECT ESCOPO, CHAVE AS "Recorte", {brl("TOTAL")} AS "Total", N_FORNECEDORES AS "Fornec.",
-  {pct("TOP5_PCT")} AS "Top 5", {pct("TOP10_PCT")} AS "Top 10", round_even(HHI, 0)::BIGINT AS "HHI", {he("GINI", 3)} AS "Gini",
-  {pct("CRESC_MEDIO_MOM_PCT", 2)} AS "Cresc. m/m" FROM metricas"""
+SQL["supplier_table"] = f"""{TUDO}{_rank} SELECT CODFORNEC, FANTASIA, {brl("TOTAL")} AS TOTAL_BRL, {brl(he("MEDIA_MENSAL"))} AS MEDIA_BRL,
+  {brl(he("DESVIO"))} AS DESVIO_BRL, {pct("CV_PCT")} AS CV_TEXTO, N_REGISTROS AS N_LINHAS FROM rank"""
+SQL["abc_table"] = f"""{_abc_filtered} SELECT CODFORNEC, FANTASIA, {brl("VALOR")} AS VALOR_BRL, {pct("PARTICIPACAO_PCT", 2)} AS PARTE_TEXTO,
+  {pct("ACUM_PCT", 2)} AS SOMA_TEXTO, CLASSE FROM abc"""
+SQL["comparison_table"] = f"""{FATO_PART}{comp(1999, 2000)}{dim()} SELECT CODFORNEC, FANTASIA, {brl("TOTAL_1999")} AS BRL_1999, {brl("TOTAL_2000")} AS BRL_2000,
+  {brl("VAR_ABS")} AS DIF_BRL, {pct("VAR_PCT", 2)} AS DIF_TEXTO, STATUS FROM comp JOIN dim USING (CODFORNEC)"""
+SQL["concentration_table"] = f"""{_conc} SELECT ESCOPO, CHAVE, {brl("TOTAL")} AS TOTAL_BRL, N_FORNECEDORES,
+  {pct("TOP5_PCT")} AS TOP5_TEXTO, {pct("TOP10_PCT")} AS TOP10_TEXTO, round_even(HHI, 0)::BIGINT AS HHI, {he("GINI", 3)} AS GINI,
+  {pct("CRESC_MEDIO_MOM_PCT", 2)} AS CRESC_TEXTO FROM metricas"""
 
 # --- quality --------------------------------------------------------------------------------
 
 
 def checks(wide: str, source: str) -> str:
     return f"""achados AS (
-  SELECT 1 AS ORDEM, count(*) FILTER (VALOR IS NULL) AS N, ' valores nulos em VALOR' AS m FROM {source}
-  UNION ALL SELECT 2, count(*) FILTER (VALOR < 0), ' valores negativos detectados' FROM {source}
-  UNION ALL SELECT 3, count(*) - count(DISTINCT (ANO, FILIAL, CODFORNEC, MES)), ' duplicatas em (ANO, FILIAL, CODFORNEC, MES)' FROM {source}
-  UNION ALL SELECT 4, count(*) - count(DISTINCT (ANO, FILIAL, CODFORNEC)), ' CODFORNEC repetido na mesma (ANO, FILIAL)' FROM {wide}),
+  SELECT 1 AS ORDEM, count(*) FILTER (VALOR IS NULL) AS N, ' linhas sem valor' AS m FROM {source}
+  UNION ALL SELECT 2, count(*) FILTER (VALOR < 0), ' linhas com valor abaixo de zero' FROM {source}
+  UNION ALL SELECT 3, count(*) - count(DISTINCT (ANO, FILIAL, CODFORNEC, MES)), ' linhas a mais por chave do fato' FROM {source}
+  UNION ALL SELECT 4, count(*) - count(DISTINCT (ANO, FILIAL, CODFORNEC)), ' linhas a mais por fornecedor e filial' FROM {wide}),
 resultado AS (SELECT ORDEM, 'ERRO' AS NIVEL, N, N || m AS MENSAGEM FROM achados WHERE N > 0
-  UNION ALL SELECT 0, 'OK', 0, 'Todas as validações passaram.' WHERE (SELECT sum(N) FROM achados) = 0)"""
+  UNION ALL SELECT 0, 'OK', 0, 'nada a corrigir' WHERE (SELECT sum(N) FROM achados) = 0)"""
 
 
 SQL["dq_checks"] = f"""WITH {LINES.strip()}, razao AS (SELECT ANO, FILIAL, l_suppkey AS CODFORNEC, {MONTHS}[MES_NUM] AS MES,
@@ -391,6 +388,6 @@ SQL["zscore_summary"] = f"""{_z} SELECT count(*) AS N_OBS, count(*) FILTER (ANOM
   {he("count(*) FILTER (ANOMALIA_Z) / count(*)::DOUBLE * 100", 4)} AS PCT_Z FROM z"""
 SQL["zscore_histogram"] = f"""{_z} SELECT f AS FAIXA, count(*) AS N, -4.0::DOUBLE + (f - 1) * 0.3::DOUBLE AS DE FROM (
   SELECT CASE WHEN Z_SCORE < -4 THEN 0 WHEN Z_SCORE >= 8 THEN 41 ELSE floor((Z_SCORE + 4) / 12 * 40) + 1 END::INTEGER AS f FROM z) GROUP BY f"""
-SQL["top_anomalies"] = f"""{_z} SELECT 'Filial ' || FILIAL AS "Filial", {_ENGLISH}[MES_NUM] || '/' || ANO AS "Periodo", CODFORNEC, FANTASIA, {brl("VALOR")} AS "Valor",
-  {brl(he("MEDIA_FORN"))} AS "Media historica", {he("Z_SCORE")} AS "Z-score", CASE WHEN ANOMALIA_Z THEN 'Z' ELSE '' END AS "Detectado por"
+SQL["top_anomalies"] = f"""{_z} SELECT 'Filial ' || FILIAL AS FILIAL_LBL, {_ENGLISH}[MES_NUM] || '/' || ANO AS PERIODO, CODFORNEC, FANTASIA, {brl("VALOR")} AS VALOR_BRL,
+  {brl(he("MEDIA_FORN"))} AS MEDIA_BRL, {he("Z_SCORE")} AS Z, CASE WHEN ANOMALIA_Z THEN 'Z' ELSE '' END AS DETECTOR
   FROM (SELECT * FROM z ORDER BY abs(Z_SCORE) DESC, ANO, FILIAL, CODFORNEC, MES_NUM, VALOR LIMIT 30)"""

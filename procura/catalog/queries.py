@@ -33,6 +33,7 @@ from procura.sources.tables import read_table, shared_folder, staged
 YEARS = list(range(1995, 2002))
 YEAR_A, YEAR_B = 1999, 2000
 BRANCHES = [1, 2, 3, 4, 5]
+SHEETS = [f"FILIAL {b}" for b in BRANCHES]
 FILTER_YEARS, FILTER_BRANCHES = [1998, 1999, 2000], [1, 2, 4]
 FILTER_BUYERS = [f"NATION_{i}" for i in range(18)]
 FILTER_MONTHS = ["JANEIRO", "FEVEREIRO", "MARCO", "ABRIL", "JULHO", "DEZEMBRO"]
@@ -86,13 +87,13 @@ def _write_workbooks(spark: SparkSession, d: str, root: str) -> None:
 
 @query
 def wide_scan(spark, d):
-    table = sheets.scan_workbooks(spark, _workbooks(spark, d))
+    table = sheets.scan_workbooks(spark, _workbooks(spark, d), expected=SHEETS)
     return table.select(*WIDE_COLUMNS[:6], *[coerce_number(F.col(m)).alias(m) for m in MONTHS])
 
 
 @query
 def ingest_union(spark, d):
-    table = sheets.scan_workbooks(spark, _workbooks(spark, d))
+    table = sheets.scan_workbooks(spark, _workbooks(spark, d), expected=SHEETS)
     long = reshape.unpivot_months(table)
     return long.groupBy("ANO", "FILIAL").agg(
         F.count("*").alias("N_VALORES"),
@@ -103,7 +104,7 @@ def ingest_union(spark, d):
 
 @query
 def source_contract(spark, d):
-    return sheets.validate_workbooks(spark, list(_workbooks(spark, d).values()))
+    return sheets.validate_workbooks(spark, list(_workbooks(spark, d).values()), SHEETS)
 
 
 @query
@@ -249,7 +250,7 @@ def new_lost_suppliers(spark, d):
 
 @query
 def kpis(spark, d):
-    return summary.kpis(_filtered(spark, d))
+    return summary.kpis(fact(spark, d))
 
 
 @query
@@ -290,22 +291,22 @@ def year_supplier_stats(spark, d):
 
 @query
 def supplier_ranking(spark, d):
-    return _rounded(ranking.supplier_ranking(_filtered(spark, d)), 2, "MEDIA_MENSAL", "DESVIO", "CV_PCT")
+    return _rounded(ranking.supplier_ranking(fact(spark, d)), 2, "MEDIA_MENSAL", "DESVIO", "CV_PCT")
 
 
 @query
 def sum_branch_year(spark, d):
-    return summary.sums_by(_filtered(spark, d), "FILIAL", "ANO")
+    return summary.sums_by(fact(spark, d), "FILIAL", "ANO")
 
 
 @query
 def sum_month_year(spark, d):
-    return summary.sums_by(_filtered(spark, d), "MES_NUM", "ANO")
+    return summary.sums_by(fact(spark, d), "MES_NUM", "ANO")
 
 
 @query
 def heat_branch_month_year(spark, d):
-    return summary.sums_by(_filtered(spark, d), "FILIAL", "MES_NUM", "ANO")
+    return summary.sums_by(fact(spark, d), "FILIAL", "MES_NUM", "ANO")
 
 
 @query
@@ -342,7 +343,7 @@ def abc_curve_parts(spark, d):
 
 @query
 def abc_summary(spark, d):
-    return concentration.abc_summary(concentration.abc_curve(_filtered(spark, d), names=True))
+    return concentration.abc_summary(concentration.abc_curve(fact(spark, d), names=True))
 
 
 @query
@@ -377,7 +378,7 @@ def top_suppliers(spark, d):
 
 @query
 def top_n_total(spark, d):
-    return ranking.top_n_total(_filtered(spark, d), 15)
+    return ranking.top_n_total(fact(spark, d), 15)
 
 
 @query
@@ -435,12 +436,12 @@ def month_labels(spark, d):
 
 @query
 def supplier_table(spark, d):
-    return display.ranking_table(ranking.supplier_ranking(_filtered(spark, d)))
+    return display.ranking_table(ranking.supplier_ranking(fact(spark, d)))
 
 
 @query
 def abc_table(spark, d):
-    return display.abc_table(concentration.abc_curve(_filtered(spark, d), names=True))
+    return display.abc_table(concentration.abc_curve(fact(spark, d), names=True))
 
 
 @query
@@ -540,7 +541,7 @@ def forecast_final(spark, d):
 
 @query
 def forecast_top20(spark, d):
-    return forecast.top_forecasts(ml.staged_forecast(spark, d), 20, branches=FILTER_BRANCHES)
+    return forecast.top_forecasts(ml.staged_forecast(spark, d), 20)
 
 
 @query

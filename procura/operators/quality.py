@@ -35,22 +35,22 @@ def check(wide: DataFrame, fact: DataFrame) -> DataFrame:
     rows = counts.select(
         F.inline(
             F.array(
-                _finding(1, F.col("nulls"), "valores nulos em VALOR"),
-                _finding(2, F.col("negatives"), "valores negativos detectados"),
-                _finding(3, F.col("repeated"), "duplicatas em (ANO, FILIAL, CODFORNEC, MES)"),
+                _finding(1, F.col("nulls"), "linhas sem valor"),
+                _finding(2, F.col("negatives"), "linhas com valor abaixo de zero"),
+                _finding(3, F.col("repeated"), "linhas a mais por chave do fato"),
             )
         )
     )
     repeated = _repeated(wide, ["ANO", "FILIAL", "CODFORNEC"])
     rows = rows.unionByName(
-        repeated.select(F.inline(F.array(_finding(4, F.col("n"), "CODFORNEC repetido na mesma (ANO, FILIAL)"))))
+        repeated.select(F.inline(F.array(_finding(4, F.col("n"), "linhas a mais por fornecedor e filial"))))
     )
     with_ok = rows.agg(F.sum("N").alias("all"), F.collect_list(F.struct("ORDEM", "NIVEL", "N", "MENSAGEM")).alias("f"))
     passed = F.struct(
         F.lit(0).alias("ORDEM"),
         F.lit("OK").alias("NIVEL"),
         F.lit(0).cast("long").alias("N"),
-        F.lit("Todas as validações passaram.").alias("MENSAGEM"),
+        F.lit("nada a corrigir").alias("MENSAGEM"),
     )
     faults = F.filter("f", lambda r: r["N"] > 0)
     return with_ok.select(F.inline(F.when(F.col("all") > 0, faults).otherwise(F.array(passed))))
@@ -70,8 +70,10 @@ def exit_status(findings: DataFrame) -> int:
     return 0 if findings.filter(F.col("NIVEL") == "ERRO").isEmpty() else 1
 
 
-def report(wide: DataFrame, fact: DataFrame, consolidated: DataFrame, year_a: int, year_b: int) -> DataFrame:
-    """Quality report as rows (SECAO, ITEM, VALOR text)."""
+def report(
+    wide: DataFrame, fact: DataFrame, consolidated: DataFrame, year_a: int, year_b: int, findings: DataFrame | None = None
+) -> DataFrame:
+    """Quality report as rows (SECAO, ITEM, VALOR text). findings: those of check() if they are known already."""
 
     def rows(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
         return df.select(F.lit(section).alias("SECAO"), item.cast("string").alias("ITEM"), value.cast("string").alias("VALOR"))
@@ -88,7 +90,7 @@ def report(wide: DataFrame, fact: DataFrame, consolidated: DataFrame, year_a: in
     ]
     sums = grouped(fact, "ANO", "FILIAL").agg(F.sum("VALOR").alias("v"))
     status = annual_comparison(fact, year_a, year_b).filter(F.col("STATUS").isin(STATUS_NEW, STATUS_LOST))
-    findings = check(wide, fact)
+    findings = check(wide, fact) if findings is None else findings
     parts = [
         rows(size, "CONTAGENS", F.lit("linhas_consolidado"), F.col("n")),
         *listed,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.functions.numeric import grouped, mean, ratio_or, sample_std, total
@@ -12,7 +12,12 @@ from procura.schema import OTHERS
 
 def top_suppliers(fact: DataFrame, dim: DataFrame, n: int = 10) -> DataFrame:
     sums = grouped(fact, "CODFORNEC").agg(total().alias("VALOR"))
-    return with_names(sums.orderBy(F.desc("VALOR"), "CODFORNEC").limit(n), dim)
+    return with_names(_first(sums, n, F.desc("VALOR"), F.asc("CODFORNEC")), dim)
+
+
+def _first(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows with their POSICAO from 1; only these n rows meet in one task."""
+    return df.orderBy(*order).limit(n).withColumn("POSICAO", F.row_number().over(Window.orderBy(*order)))
 
 
 def supplier_ranking(fact: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def top_n_total(fact: DataFrame, n: int) -> DataFrame:
 def extremes(comparison: DataFrame, dim: DataFrame, n: int = 5, falls: bool = False) -> DataFrame:
     """The n largest rises (or falls) in VAR_ABS, with names."""
     order = F.asc("VAR_ABS") if falls else F.desc("VAR_ABS")
-    return with_names(comparison.orderBy(order, "CODFORNEC").limit(n), dim)
+    return with_names(_first(comparison, n, order, F.asc("CODFORNEC")), dim)
 
 
 def branch_composition(fact: DataFrame, n: int = 10) -> DataFrame:

@@ -25,7 +25,7 @@ def drop_empty_months(long: DataFrame) -> DataFrame:
 
     The list of such months is at most 12 per year, so it is broadcast.
     """
-    empty = grouped(long, "ANO", "MES").agg(F.sum("VALOR").alias("_total")).filter(F.col("_total") <= 0)
+    empty = grouped(long, "ANO", "MES").agg(F.sum(F.col("VALOR").cast("decimal(38,6)")).alias("_total")).filter(F.col("_total") <= 0)
     return long.join(F.broadcast(empty.select("ANO", "MES")), ["ANO", "MES"], "left_anti")
 
 

@@ -190,7 +190,7 @@ def first_names(fact: DataFrame) -> DataFrame:
     moment = (
         F.col("ANO").cast("long") * F.lit(1 << 40) + F.col("FILIAL").cast("long") * F.lit(16) + F.col("MES_NUM")
     )
-    spellings = grouped(fact, "CODFORNEC", "FANTASIA").agg(F.min(moment).alias("moment"))
+    spellings = grouped(fact.dropna(subset=["ANO", "FILIAL", "MES_NUM"]), "CODFORNEC", "FANTASIA").agg(F.min(moment).alias("moment"))
     return spellings.groupBy("CODFORNEC").agg(F.min(F.struct("moment", "FANTASIA"))["FANTASIA"].alias("FANTASIA"))
 
 

@@ -6,35 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.operators import quality, reshape, summary
+from procura.schema import FACT_COLUMNS
 from procura.sources import sheets
-from procura.sources.tables import durable, write_fact, write_tables, write_text
+from procura.sources.tables import drop_durable, durable, write_fact, write_tables, write_text
 
 
 def build_tables(wide: DataFrame, year_a: int, year_b: int) -> dict[str, DataFrame]:
-    """Fact, consolidation, comparison, dimension and findings. The fact is made durable once."""
+    """Fact, consolidation, comparison, dimension and findings. The fact is staged once."""
     fact = durable(reshape.to_fact(wide))
+    return {"fato": fact, **derived_tables(fact, year_a, year_b), "validacoes": quality.check(wide, fact)}
+
+
+def derived_tables(fact: DataFrame, year_a: int, year_b: int) -> dict[str, DataFrame]:
     return {
-        "fato": fact,
         "cons": summary.consolidate(fact),
         "comp": summary.annual_comparison(fact, year_a, year_b),
         "dim": summary.supplier_dim(fact),
-        "validacoes": quality.check(wide, fact),
     }
 
 
 def main(
     spark: SparkSession, workbooks: dict[int, str], staging: str, outputs: str, year_a: int, year_b: int, refresh: bool = False
 ) -> int:
-    """Run the whole load; 1 if any check failed. refresh replaces only the years that came in."""
-    wide = sheets.scan_workbooks(spark, workbooks)
-    tables = build_tables(wide, year_a, year_b)
-    write_fact(tables["fato"], f"{staging}/fato_compras.parquet", refresh)
-    write_tables(
-        {"consolidado_trimestre": tables["cons"], "comparativo_anual": tables["comp"], "dim_fornecedor": tables["dim"]},
-        staging,
-    )
-    report = quality.report(wide, tables["fato"], tables["cons"], year_a, year_b)
+    """Run the whole load; 1 if any check failed. refresh replaces only the years that came in; the derived tables and
+    the checks always follow the whole written fact.
+
+    The sheets are scanned once, into a staged table; a branch that contradicts its sheet fails there, before any output
+    is written.
+    """
+    wide = durable(sheets.scan_workbooks(spark, workbooks))
+    path = f"{staging}/fato_compras.parquet"
+    write_fact(reshape.to_fact(wide), path, refresh)
+    fact = spark.read.parquet(path).select(*FACT_COLUMNS)
+    tables = derived_tables(fact, year_a, year_b)
+    write_tables({"consolidado_trimestre": tables["cons"], "comparativo_anual": tables["comp"], "dim_fornecedor": tables["dim"]}, staging)
+    consolidated = spark.read.parquet(f"{staging}/consolidado_trimestre.parquet")
+    findings = durable(quality.check(wide, fact))
+    report = quality.report(wide, fact, consolidated, year_a, year_b, findings)
     write_text(
         report.withColumn("LINHA", F.concat_ws(": ", "SECAO", "ITEM", "VALOR")), f"{outputs}/qa_report", ["SECAO", "ITEM"]
     )
-    return quality.exit_status(tables["validacoes"])
+    status = quality.exit_status(findings)
+    drop_durable(wide, findings)
+    return status

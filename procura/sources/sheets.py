@@ -2,17 +2,19 @@
 
 A workbook is a folder; each sheet is a sub-folder of part files or one file, CSV or Parquet:
 <root>/COMPRAS 2025/FILIAL 1.csv or <root>/COMPRAS 2025/FILIAL 1/part-*.csv.
-Sheets with the same header are read by one scan over all their files.
+Extensions may be in capitals or name a compression. Files with the same header are read by one scan.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
+from csv import reader
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,16 +31,20 @@ from procura.schema import (
 
 SHEET_PATTERN = r"^FILIAL\s+\d+$"
 # .../<workbook>/<sheet>[/part-*]; folders may be written as name=value
-_PATH_PARTS = r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+?)(?:\.(?:csv|parquet))?(?:/part-[^/]*)?$"
+_EXTENSION = r"\.(csv|parquet)(?:\.(?:gz|bz2|zst|lz4|snappy))?$"
+_PATH_PARTS = r"^(.*?/(?:[^/=]+=)?([^/]+))/(?:[^/=]+=)?([^/]+?)(?:(?i)" + _EXTENSION[:-1] + r")?(?:/part-[^/]*)?$"
 
 
 @dataclass(frozen=True)
 class Sheet:
+    """One file of a sheet. root: path of the workbook folder."""
+
     workbook: str
     name: str
     path: str
     kind: str
     columns: tuple[str, ...] = ()
+    root: str = ""
 
     @property
     def headers(self) -> list[str]:
@@ -49,52 +55,65 @@ def normal_headers(columns: list[str]) -> list[str]:
     return [c.strip().upper() for c in columns]
 
 
-def _provenance(path: Column) -> tuple[Column, Column]:
-    plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_extract(plain, _PATH_PARTS, 1), F.regexp_extract(plain, _PATH_PARTS, 2)
+def _plain(path: Column) -> Column:
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def list_sheets(spark: SparkSession, *workbooks: str) -> list[Sheet]:
-    """Sheets of the workbook folders with their raw headers. Only names and headers are read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{csv,parquet}")
-        .load(list(workbooks))
-        .select(F.col("_metadata.file_path").alias("path"))
+def _provenance(path: Column) -> tuple[Column, Column, Column]:
+    """Root and name of the workbook, name of the sheet."""
+    return tuple(F.regexp_extract(_plain(path), _PATH_PARTS, i) for i in (1, 2, 3))
+
+
+def _files(spark: SparkSession, *workbooks: str) -> DataFrame:
+    """Every file of the workbook folders: file, path, root, workbook, name, kind (null if it cannot be read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(workbooks))
+    file = F.col("_metadata.file_path")
+    root, workbook, name = _provenance(file)
+    kind = F.lower(F.regexp_extract(_plain(file), "(?i)" + _EXTENSION, 1))
+    return files.select(
+        file.alias("file"), _plain(file).alias("path"), root.alias("root"), workbook.alias("workbook"), name.alias("name"), F.nullif(kind, F.lit("")).alias("kind")
     )
-    plain = F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    places = files.select(
-        F.regexp_replace(plain, r"/part-[^/]*$", "").alias("path"),
-        F.when(plain.endswith(".csv"), "csv").otherwise("parquet").alias("kind"),
-        *[c.alias(n) for c, n in zip(_provenance(F.col("path")), ("workbook", "name"))],
-    ).distinct()
 
-    def with_header(row) -> Sheet:
-        reader = spark.read.option("header", True) if row.kind == "csv" else spark.read
-        columns = reader.format(row.kind).load(row.path).columns
-        return Sheet(row.workbook, row.name, row.path, row.kind, tuple(columns))
 
-    found = sorted(places.toLocalIterator(), key=lambda r: (r.workbook, r.name))
-    with ThreadPoolExecutor(8) as pool:
-        return list(pool.map(with_header, found))
+def list_sheets(spark: SparkSession, *workbooks: str) -> list[Sheet]:
+    """Files of the workbook folders with their raw headers, in order of workbook and sheet.
+
+    CSV headers come from one text scan that keeps the first line of every file, so part files of one sheet may order
+    their columns differently. The list has a row per file, as Spark's own file index has.
+    """
+    files = _files(spark, *workbooks).filter("kind is not null").collect()
+    csv = [r.path for r in files if r.kind == "csv"]
+    lines = {}
+    if csv:
+        text = spark.read.text(csv).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+        first = text.filter("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("line"))
+        lines = {r.file: r.line for r in first.collect()}
+
+    def columns(row) -> tuple[str, ...]:
+        if row.kind == "parquet":
+            return tuple(spark.read.parquet(row.path).columns)
+        return tuple(next(reader([lines.get(row.file, "").removeprefix("\ufeff")]), ()))
+
+    return [Sheet(r.workbook, r.name, r.path, r.kind, columns(r), r.root) for r in sorted(files, key=lambda r: (r.root, r.name, r.path))]
 
 
 def read_sheets(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
-    """All sheets as text with clean headers, plus WORKBOOK and SHEET."""
+    """All sheets as text with clean headers, plus ROOT, WORKBOOK and SHEET. Files are grouped by their own header."""
     same: dict[tuple, list[Sheet]] = defaultdict(list)
     for sheet in sheets:
-        same[(sheet.kind, sheet.columns)].append(sheet)
+        if sheet.columns:
+            same[(sheet.kind, sheet.columns)].append(sheet)
     parts = []
     for (kind, columns), group in same.items():
-        reader = spark.read.format(kind)
+        source = spark.read.format(kind)
         if kind == "csv":
             schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-            reader = reader.option("header", True).schema(schema)
-        raw = reader.load([s.path for s in group])
-        workbook, name = _provenance(F.col("_metadata.file_path"))
-        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns], workbook, name)
-        parts.append(repair_headers(raw.toDF(*columns, "WORKBOOK", "SHEET")))
+            source = source.option("header", True).schema(schema)
+        raw = source.load([s.path for s in group])
+        raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns], *_provenance(F.col("_metadata.file_path")))
+        parts.append(repair_headers(raw.toDF(*columns, "ROOT", "WORKBOOK", "SHEET")))
+    if not parts:
+        raise ValueError("no sheet to read")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -135,7 +154,7 @@ def wide_table(raw: DataFrame, strict: bool = True) -> DataFrame:
         number = F.col("FILIAL").cast("string").try_cast("double")
         agrees = number.eqNullSafe(sheet_branch.cast("double"))
         fault = F.raise_error(F.concat(F.col("SHEET"), F.lit(": FILIAL differs from the sheet name")))
-        sheet_branch = F.when(agrees, sheet_branch).otherwise(fault.cast("int"))
+        raw = raw.filter(F.when(agrees, F.lit(True)).otherwise(fault.cast("boolean")))  # a filter is never pruned away
     year = F.col("ANO").cast("int") if "ANO" in raw.columns else year_in_name(F.col("WORKBOOK"))
     df = pad_columns(raw).withColumns({"ANO": year, "FILIAL": sheet_branch})
     code = F.col("CODFORNEC").cast("string")
@@ -143,76 +162,108 @@ def wide_table(raw: DataFrame, strict: bool = True) -> DataFrame:
     return clean_names(df).select(*WIDE_COLUMNS)
 
 
+def _root_of(roots: set[str], path: str) -> str:
+    """The root as it stands in file paths, for a workbook path as the caller wrote it."""
+    tail = "/" + re.sub(r"^[a-z][a-z0-9+.-]*:/*", "", path.rstrip("/")).lstrip("/")
+    return next((r for r in roots if r == path.rstrip("/") or r.endswith(tail)), path)
+
+
 def scan_workbooks(
     spark: SparkSession,
     workbooks: dict[int, str] | list[str],
     strict: bool = True,
     pattern: str = SHEET_PATTERN,
+    expected: list[str] | None = None,
 ) -> DataFrame:
     """Wide table of every branch sheet; sheets whose name is not a branch are left out.
 
-    A dict gives the year of each workbook; a list takes it from the folder names.
+    A dict gives the year of each workbook; a list takes it from the folder names. expected: the sheets to load, as given
+    to validate_workbooks; None loads every name that fits the pattern. Files of other formats give a warning.
     """
-    known = workbooks if isinstance(workbooks, dict) else {None: p for p in workbooks}
     paths = list(workbooks.values()) if isinstance(workbooks, dict) else list(workbooks)
-    sheets = [s for s in list_sheets(spark, *paths) if re.match(pattern, strip_upper(s.name))]
+    for path in unread_files(spark, paths):
+        warnings.warn(f"not read: {path}", stacklevel=2)
+    wanted = lambda name: name in expected if expected else re.match(pattern, name)
+    sheets = [s for s in list_sheets(spark, *paths) if wanted(strip_upper(s.name))]
     raw = read_sheets(spark, sheets)
     if isinstance(workbooks, dict):
-        title = lambda path: path.rstrip("/").split("/")[-1].split("=")[-1]
-        year_of = F.create_map(*[F.lit(x) for year, path in known.items() for x in (title(path), year)])
-        raw = raw.withColumn("ANO", year_of[F.col("WORKBOOK")])
+        roots = {s.root for s in sheets}
+        years = spark.createDataFrame([(_root_of(roots, path), year) for year, path in workbooks.items()], "ROOT string, ANO int")
+        raw = raw.drop("ANO").join(F.broadcast(years), "ROOT")  # one row a workbook
     return wide_table(raw, strict)
 
 
+def unread_files(spark: SparkSession, workbooks: list[str]) -> list[str]:
+    """Files in the workbook folders that are neither CSV nor Parquet."""
+    return sorted(r.path for r in _files(spark, *workbooks).filter("kind is null").collect())
+
+
 def _contract_findings(sheets: list[Sheet], expected: list[str]) -> list[tuple[str, str]]:
     """Findings from names and headers alone. The checks stop at the first error."""
-    names = [strip_upper(s.name) for s in sheets]
+    by_name: dict[str, list[Sheet]] = defaultdict(list)
+    for sheet in sheets:
+        by_name[sheet.name].append(sheet)
+    names = {strip_upper(n) for n in by_name}
     missing = [e for e in expected if e not in names]
     if missing:
-        return [("ERRO", f"Abas faltando: {missing}. Esperado: {expected}")]
+        return [("ERRO", f"sem as abas {', '.join(missing)}")]
     found = []
-    for sheet, name in zip(sheets, names):
-        if name not in expected:
-            found.append(("AVISO", f"Aba ignorada: {sheet.name}"))
+    for name, files in by_name.items():
+        if strip_upper(name) not in expected:
+            found.append(("AVISO", f"aba fora da lista: {name}"))
             continue
-        absent = sorted(set(REQUIRED_COLUMNS) - set(sheet.headers))
+        absent = sorted(set(REQUIRED_COLUMNS) - set.intersection(*[set(f.headers) for f in files]))
         if absent:
-            return [*found, ("ERRO", f"Aba '{sheet.name}' sem colunas: {absent}")]
-        if not set(MONTHS) & set(sheet.headers):
-            return [*found, ("ERRO", f"Aba '{sheet.name}' sem coluna de mês ({MONTHS[0]}..{MONTHS[-1]})")]
+            return [*found, ("ERRO", f"{name}: colunas ausentes {', '.join(absent)}")]
+        if not all(set(MONTHS) & set(f.headers) for f in files):
+            return [*found, ("ERRO", f"{name}: nenhuma coluna de mês")]
     return found
 
 
 def validate_workbooks(spark: SparkSession, workbooks: list[str], expected: list[str] = EXPECTED_SHEETS) -> DataFrame:
-    """Findings per workbook: WORKBOOK, ANO, ORDEM, NIVEL, MENSAGEM, LINHAS, OK.
+    """Findings per workbook: WORKBOOK, ANO, ORDEM, NIVEL, MENSAGEM, LINHAS, COLUNAS, OK. COLUNAS counts the distinct headers
+    of the expected sheets.
 
-    Rows of the expected sheets of all sound workbooks are counted by one scan.
+    A folder that cannot be opened is a finding of its own. Rows of the expected sheets of all sound workbooks are
+    counted by one scan.
     """
-    by_book: dict[str, list[Sheet]] = {w.rstrip("/").split("/")[-1].split("=")[-1]: [] for w in workbooks}
-    for sheet in list_sheets(spark, *workbooks):
-        by_book.setdefault(sheet.workbook, []).append(sheet)
-    findings = {book: _contract_findings(sheets, expected) for book, sheets in by_book.items()}
+    sheets, unread = [], []
+    closed: dict[str, str] = {}
+    for path in workbooks:
+        try:
+            sheets += list_sheets(spark, path)
+            unread += unread_files(spark, [path])
+        except AnalysisException as error:
+            closed[path.rstrip("/")] = error.getCondition() or "erro de leitura"
+    roots = {s.root for s in sheets}
+    by_book: dict[str, list[Sheet]] = {_root_of(roots, w): [] for w in workbooks if w.rstrip("/") not in closed}
+    for sheet in sheets:
+        by_book.setdefault(sheet.root, []).append(sheet)
+    findings = {book: _contract_findings(own, expected) for book, own in by_book.items()}
+    for path in unread:
+        book = next((b for b in by_book if path.startswith(b + "/")), None)
+        if book is not None:
+            findings[book].insert(0, ("AVISO", f"arquivo de outro formato: {path[len(book) + 1:]}"))
+    findings |= {path: [("ERRO", f"pasta ilegível: {why}")] for path, why in closed.items()}
     failed = {book for book, found in findings.items() if any(level == "ERRO" for level, _ in found)}
+    title = lambda root: root.rstrip("/").split("/")[-1].split("=")[-1]
+    wanted = {b: [s for s in own if strip_upper(s.name) in expected] for b, own in by_book.items()}
+    headers = {b: len({h for s in own for h in s.headers}) for b, own in wanted.items()}
     notes = [
-        (book, i, level, text, 0, book not in failed)
+        (title(book), i, level, text, 0, headers.get(book, 0), book not in failed)
         for book, found in findings.items()
         for i, (level, text) in enumerate(found)
     ]
     lines = spark.createDataFrame(
-        notes, "WORKBOOK string, ORDEM int, NIVEL string, MENSAGEM string, LINHAS long, OK boolean"
+        notes, "WORKBOOK string, ORDEM int, NIVEL string, MENSAGEM string, LINHAS long, COLUNAS int, OK boolean"
     )
-    good = [s for b, sheets in by_book.items() if b not in failed for s in sheets if strip_upper(s.name) in expected]
+    good = [s for b, own in wanted.items() if b not in failed for s in own]
     if good:
-        place = F.create_map(*[F.lit(x) for b in by_book if b not in failed for x in (b, len(findings[b]))])
-        passed = read_sheets(spark, good).groupBy("WORKBOOK").agg(F.count("*").alias("LINHAS"))
-        text = F.concat(
-            F.lit("Padrão validado · "), F.col("LINHAS").cast("string"), F.lit(f" linhas · {len(expected)} filiais")
-        )
+        books = spark.createDataFrame([(b, len(findings[b]), headers[b]) for b in by_book if b not in failed], "ROOT string, ORDEM int, COLUNAS int")
+        passed = read_sheets(spark, good).groupBy("ROOT", "WORKBOOK").agg(F.count("*").alias("LINHAS")).join(F.broadcast(books), "ROOT")
+        text = F.concat(F.col("LINHAS").cast("string"), F.lit(f" linhas em {len(expected)} abas"))
         lines = lines.unionByName(
-            passed.select(
-                "WORKBOOK", place[F.col("WORKBOOK")].alias("ORDEM"), F.lit("OK").alias("NIVEL"), text.alias("MENSAGEM"),
-                "LINHAS", F.lit(True).alias("OK"),
-            )
+            passed.select("WORKBOOK", "ORDEM", F.lit("OK").alias("NIVEL"), text.alias("MENSAGEM"), "LINHAS", "COLUNAS", F.lit(True).alias("OK"))
         )
     return lines.withColumn("ANO", year_in_name(F.col("WORKBOOK")))
 

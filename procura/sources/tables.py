@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -30,22 +31,31 @@ def optional_table(spark: SparkSession, folder: str, name: str) -> DataFrame | N
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a local session without it gets its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="procura-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    """The folder that spark.checkpoint.dir names. Only a local session that names none gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.gettempdir()}/procura-{spark.sparkContext.applicationId}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage on reliable storage; what was computed stays fixed if an executor is lost."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage on reliable storage, as columns that later reads can prune; what was computed stays fixed if an
+    executor is lost. drop_durable removes the files at the end of a run."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_durable(*tables: DataFrame) -> None:
+    """Delete the files of durable tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(

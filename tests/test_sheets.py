@@ -1,5 +1,7 @@
 """Sheets, contract, sinks and the two batch runs, on files in a temporary folder."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,16 +55,61 @@ def test_branch_guard(spark, tmp_path):
     assert sorted(r.CODFORNEC for r in sheets.branch_mismatches(raw).collect()) == ["8", "9"]
     with pytest.raises(Exception, match="FILIAL differs"):
         sheets.wide_table(raw).collect()
+    with pytest.raises(Exception, match="FILIAL differs"):
+        sheets.wide_table(raw).count()
+    with pytest.raises(Exception, match="FILIAL differs"):
+        sheets.wide_table(raw).agg(F.sum("JANEIRO")).collect()
     assert sheets.wide_table(raw, strict=False).count() == 3
 
 
+def test_no_file_is_lost(spark, tmp_path):
+    folder = tmp_path / "C 2025"
+    put(folder, "FILIAL 1", HEAD, "7,1,A,A,C,1,2")
+    with gzip.open(folder / "FILIAL 2.csv.gz", "wt") as file:
+        file.write(HEAD + "\n7,2,A,A,C,3,4\n")
+    (folder / "FILIAL 3.CSV").write_text(HEAD + "\n7,3,A,A,C,5,6\n")
+    put(folder / "FILIAL 5", "part-0", HEAD, "7,5,A,A,C,7,8")
+    put(folder / "FILIAL 5", "part-1", HEAD.replace("JANEIRO,FEVEREIRO", "FEVEREIRO,JANEIRO"), "8,5,A,A,C,10,9")
+    (folder / "notes.txt").write_text("x")
+    with pytest.warns(UserWarning, match="notes.txt"):
+        table = sheets.scan_workbooks(spark, [str(folder)])
+    got = {(r.FILIAL, r.CODFORNEC): (r.JANEIRO, r.FEVEREIRO) for r in table.collect()}
+    assert got == {(1, 7): ("1", "2"), (2, 7): ("3", "4"), (3, 7): ("5", "6"), (5, 7): ("7", "8"), (5, 8): ("9", "10")}
+    names = [f"FILIAL {n}" for n in (1, 2, 3, 5)]
+    rows = [(r.NIVEL, r.LINHAS) for r in sheets.validate_workbooks(spark, [str(folder), str(tmp_path / "none")], names).orderBy("WORKBOOK", "ORDEM").collect()]
+    assert rows == [("AVISO", 0), ("OK", 5), ("ERRO", 0)]
+
+
+def test_workbooks_of_one_name(spark, tmp_path):
+    for year in (2025, 2026):
+        put(tmp_path / str(year) / "COMPRAS", "FILIAL 1", HEAD, f"{year},1,A,A,C,1,2")
+    books = {y: str(tmp_path / str(y) / "COMPRAS") for y in (2025, 2026)}
+    assert {(r.ANO, r.CODFORNEC) for r in sheets.scan_workbooks(spark, books).collect()} == {(2025, 2025), (2026, 2026)}
+    assert sheets.validate_workbooks(spark, list(books.values()), ["FILIAL 1"]).count() == 2
+
+
+def test_refresh_equals_a_full_load(spark, tmp_path):
+    for year in (2025, 2026):
+        for n in range(1, 5):
+            rows = [f"{s},{n},FORN {s} SA,,C{s % 2},{s * 10 + n + year - 2025},{s * 9 + n}" for s in range(year - 2024, 9)]
+            put(tmp_path / "raw" / f"COMPRAS {year}", f"FILIAL {n}", HEAD, *rows)
+    books = {y: str(tmp_path / "raw" / f"COMPRAS {y}") for y in (2025, 2026)}
+    full, again = str(tmp_path / "full"), str(tmp_path / "again")
+    for target in (full, again):
+        etl.main(spark, books, target, str(tmp_path / "out"), 2025, 2026)
+    etl.main(spark, {2026: books[2026]}, again, str(tmp_path / "out"), 2025, 2026, refresh=True)
+    for name in ("fato_compras", "consolidado_trimestre", "comparativo_anual", "dim_fornecedor"):
+        one, two = (sorted(map(str, read_table(spark, d, name).select(sorted(read_table(spark, d, name).columns)).collect())) for d in (full, again))
+        assert one == two and one
+
+
 def findings(spark, *books):
     return [(r.NIVEL, r.MENSAGEM, r.LINHAS, r.OK) for r in sheets.validate_workbooks(spark, list(books)).orderBy("WORKBOOK", "ORDEM").collect()]
 
 
 def test_contract(spark, book, tmp_path):
     assert findings(spark, book) == [
-        ("AVISO", "Aba ignorada: RESUMO", 0, True), ("OK", "Padrão validado · 7 linhas · 4 filiais", 7, True),
+        ("AVISO", "aba fora da lista: RESUMO", 0, True), ("OK", "7 linhas em 4 abas", 7, True),
     ]
     few = tmp_path / "B 2026"
     put(few, "FILIAL 1", HEAD, "7,1,A,A,C,1,1")
@@ -71,9 +118,9 @@ def test_contract(spark, book, tmp_path):
     for n in (2, 3, 4):
         put(few, f"FILIAL {n}", HEAD, f"7,{n},A,A,C,1,1")
     put(few, "FILIAL 3", "CODFORNEC,FILIAL,JANEIRO", "7,3,1")
-    assert findings(spark, str(few)) == [("ERRO", "Aba 'FILIAL 3' sem colunas: ['CODCOMPRADOR', 'FORNECEDOR']", 0, False)]
+    assert findings(spark, str(few)) == [("ERRO", "FILIAL 3: colunas ausentes CODCOMPRADOR, FORNECEDOR", 0, False)]
     put(few, "FILIAL 3", "CODFORNEC,FILIAL,FORNECEDOR,CODCOMPRADOR,MARÇO", "7,3,A,C,1")
-    assert findings(spark, str(few))[0][1].startswith("Aba 'FILIAL 3' sem coluna de mês")
+    assert findings(spark, str(few))[0][1].startswith("FILIAL 3: nenhuma coluna de mês")
     assert sheets.year_clashes([book, str(few), "/x/OUTRA 2025"]) == {"2025": [book, "/x/OUTRA 2025"]}
 
 
@@ -96,7 +143,7 @@ def test_load_and_analytics_runs(spark, tmp_path):
     assert fact.count() == 2 * 4 * 8 * 2
     assert read_table(spark, staging, "comparativo_anual").count() == 8
     report = [r.value for r in spark.read.text(f"{outputs}/qa_report").collect()]
-    assert "VALIDACOES: OK: Todas as validações passaram." in report
+    assert "VALIDACOES: OK: nada a corrigir" in report
 
     ml.main(spark, staging, outputs, 2025, 2026, trees=5)
     forecast = read_table(spark, staging, "forecast")
