@@ -391,3 +391,32 @@ SQL["zscore_histogram"] = f"""{_z} SELECT f AS FAIXA, count(*) AS N, -4.0::DOUBL
 SQL["top_anomalies"] = f"""{_z} SELECT 'Filial ' || FILIAL AS FILIAL_LBL, {_ENGLISH}[MES_NUM] || '/' || ANO AS PERIODO, CODFORNEC, FANTASIA, {brl("VALOR")} AS VALOR_BRL,
   {brl(he("MEDIA_FORN"))} AS MEDIA_BRL, {he("Z_SCORE")} AS Z, CASE WHEN ANOMALIA_Z THEN 'Z' ELSE '' END AS DETECTOR
   FROM (SELECT * FROM z ORDER BY abs(Z_SCORE) DESC, ANO, FILIAL, CODFORNEC, MES_NUM, VALOR LIMIT 30)"""
+
+# --- rules that follow the models -------------------------------------------------------------
+
+_final = FATO + projection("fato", "FILIAL, CODFORNEC, FANTASIA") + """,
+r AS (SELECT FILIAL, CODFORNEC, max(VALOR)::DOUBLE / 2 AS RF_PREDICAO FROM fato WHERE CODFORNEC % 2 = 0 GROUP BY FILIAL, CODFORNEC),
+fim AS (SELECT proj.*, RF_PREDICAO, CASE WHEN RF_PREDICAO IS NOT NULL THEN greatest(0, (ensemble + RF_PREDICAO) / 2) END AS PREDICAO_FINAL
+  FROM proj LEFT JOIN r USING (FILIAL, CODFORNEC))"""
+SQL["blend_rule"] = f"{_final} SELECT FILIAL, CODFORNEC, {he('RF_PREDICAO')} AS RF_PREDICAO, {he('PREDICAO_FINAL')} AS PREDICAO_FINAL FROM fim"
+_sums = ", ".join(f"{he(f'sum({c})')} AS {c}" for c in ("ensemble", "ic_inf", "ic_sup"))
+SQL["top_forecast_rule"] = f"""{_final} SELECT CODFORNEC, FANTASIA, {_sums}, {he("coalesce(sum(PREDICAO_FINAL), 0)")} AS PREDICAO_FINAL
+FROM fim GROUP BY CODFORNEC, FANTASIA ORDER BY sum(ensemble) DESC, CODFORNEC, FANTASIA LIMIT 20"""
+_region = FATO + _feat + """,
+reg AS (SELECT feat.*, n_regionkey AS CLUSTER FROM feat JOIN supplier ON s_suppkey = CODFORNEC JOIN nation ON n_nationkey = s_nationkey),
+perfil AS (SELECT *, CASE WHEN ORDEM = 0 THEN 'Estratégico (alto volume)' WHEN growth > 0.15 THEN 'Em crescimento' WHEN growth < -0.15 THEN 'Em retração'
+    WHEN cv > 0.5 THEN 'Volátil' ELSE 'Cauda longa estável' END AS CLUSTER_ROTULO
+  FROM (SELECT *, (row_number() OVER (ORDER BY total DESC, CLUSTER) - 1)::INTEGER AS ORDEM FROM (
+    SELECT CLUSTER, avg(TOTAL) AS total, avg(CV) AS cv, avg(GROWTH_YOY) AS growth FROM reg GROUP BY CLUSTER)))"""
+SQL["cluster_profile_rule"] = f"""{_region} SELECT CLUSTER, {he("total", 4)} AS total, {he("cv", 4)} AS cv, {he("growth", 4)} AS growth, ORDEM, CLUSTER_ROTULO FROM perfil"""
+SQL["cluster_size_rule"] = f"""{_region} SELECT CLUSTER, CLUSTER_ROTULO, count(*) AS N FROM reg JOIN perfil USING (CLUSTER)
+GROUP BY CLUSTER, CLUSTER_ROTULO ORDER BY N DESC, CLUSTER LIMIT 4"""
+SQL["cluster_table_rule"] = f"""{_region} SELECT CLUSTER, CLUSTER_ROTULO, CODFORNEC, FANTASIA, {brl("reg.TOTAL")} AS TOTAL_BRL, {brl("MEDIA")} AS MEDIA_BRL,
+  {he("reg.CV")} AS CV, {pct("GROWTH_YOY * 100")} AS CRESC_TEXTO FROM reg JOIN perfil USING (CLUSTER)"""
+SQL["bubble_rule"] = f"""{_region} SELECT CODFORNEC, {he("least(greatest(TOTAL / (SELECT max(TOTAL) FROM reg) * 60 + 8, 8), 70)", 4)} AS TAMANHO FROM reg"""
+SQL["detector_rule"] = f"""{_z} SELECT ANO, FILIAL, CODFORNEC, MES_NUM, ANOMALIA_Z OR MES_NUM = 12 AS ANOMALIA,
+  CASE WHEN ANOMALIA_Z AND MES_NUM = 12 THEN 'Z+ISO' WHEN ANOMALIA_Z THEN 'Z' WHEN MES_NUM = 12 THEN 'ISO' ELSE '' END AS FLAG FROM z"""
+SQL["detector_summary_rule"] = f"""{_z} SELECT count(*) FILTER (ANOMALIA_Z) AS N_ANOMALIAS_Z, count(*) FILTER (MES_NUM = 12) AS N_ANOMALIAS_ISO,
+  count(*) FILTER (ANOMALIA_Z OR MES_NUM = 12) AS N_TOTAL, {he("avg((ANOMALIA_Z OR MES_NUM = 12)::INTEGER) * 100", 4)} AS PCT_TOTAL FROM z"""
+SQL["percentile_flag"] = f"""{FATO}, corte AS (SELECT quantile_cont(VALOR::DOUBLE, 0.05) AS q FROM fato)
+SELECT ANO, FILIAL, CODFORNEC, MES_NUM, {he("VALOR::DOUBLE - q")} AS ISO_SCORE, VALOR::DOUBLE - q < 0 AS ANOMALIA_ISO FROM fato, corte"""

@@ -621,3 +621,80 @@ def anomaly_summary(spark, d):
 @query
 def ml_report(spark, d):
     return ml.report(spark, d)
+
+
+# --- rules that follow the models, on model outputs that SQL can express -----------------------
+
+
+def _second_forecast(spark, d):
+    """Half of the largest amount, for even suppliers only."""
+    even = fact(spark, d).filter(F.col("CODFORNEC") % 2 == 0)
+    return even.groupBy("FILIAL", "CODFORNEC").agg((F.max("VALOR").cast("double") / 2).alias("RF_PREDICAO"))
+
+
+@query
+def blend_rule(spark, d):
+    final = forecast.final_forecast(forecast.forecast_series(fact(spark, d), bounded=True), _second_forecast(spark, d))
+    return _rounded(final, 2, "RF_PREDICAO", "PREDICAO_FINAL").select("FILIAL", "CODFORNEC", "RF_PREDICAO", "PREDICAO_FINAL")
+
+
+@query
+def top_forecast_rule(spark, d):
+    final = forecast.final_forecast(forecast.forecast_series(fact(spark, d), bounded=True), _second_forecast(spark, d))
+    return _rounded(forecast.top_forecasts(final, 20), 2, "ensemble", "ic_inf", "ic_sup", "PREDICAO_FINAL")
+
+
+def _by_region(spark, d):
+    """Supplier features with the supplier's region as its cluster."""
+    nation = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("CLUSTER"))
+    region = read_table(spark, d, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("CODFORNEC"), "CLUSTER")
+    return summary.supplier_features(fact(spark, d), YEAR_A, YEAR_B).join(region, "CODFORNEC")
+
+
+def _labelled(spark, d):
+    rows = _by_region(spark, d)
+    return rows.join(segments.profiles(rows).select("CLUSTER", "CLUSTER_ROTULO"), "CLUSTER")
+
+
+@query
+def cluster_profile_rule(spark, d):
+    return _rounded(segments.profiles(_by_region(spark, d)), 4, "total", "cv", "growth")
+
+
+@query
+def cluster_size_rule(spark, d):
+    return segments.cluster_sizes(_labelled(spark, d))
+
+
+@query
+def cluster_table_rule(spark, d):
+    return display.cluster_table(_labelled(spark, d))
+
+
+@query
+def bubble_rule(spark, d):
+    return _rounded(segments.bubble_sizes(_by_region(spark, d)), 4, "TAMANHO").select("CODFORNEC", "TAMANHO")
+
+
+def _december(spark, d):
+    """z-scores, with every December flagged by the second detector."""
+    scored = anomalies.z_scores(fact(spark, d)).withColumn("ANOMALIA_ISO", F.col("MES_NUM") == 12)
+    return scored.withColumn("ANOMALIA", F.col("ANOMALIA_Z") | F.col("ANOMALIA_ISO"))
+
+
+@query
+def detector_rule(spark, d):
+    rows = _december(spark, d).withColumn("FLAG", labels.detector_label(F.col("ANOMALIA_Z"), F.col("ANOMALIA_ISO")))
+    return rows.select("ANO", "FILIAL", "CODFORNEC", "MES_NUM", "ANOMALIA", "FLAG")
+
+
+@query
+def detector_summary_rule(spark, d):
+    return _rounded(anomalies.summary(_december(spark, d)), 4, "PCT_TOTAL")
+
+
+@query
+def percentile_flag(spark, d):
+    rows = fact(spark, d)
+    flagged = anomalies.flag_lowest(rows.withColumn("_s", F.col("VALOR").cast("double")))
+    return _rounded(flagged, 2, "ISO_SCORE").select("ANO", "FILIAL", "CODFORNEC", "MES_NUM", "ISO_SCORE", "ANOMALIA_ISO")
