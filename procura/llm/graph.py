@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.stage import drop_stage, stage
+from procura.llm.stage import drop_stage, stage, tasks_for
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long), component being the smallest node reachable.
 
     Each round is a minimum per node (combined before the shuffle) and a join that adaptive execution may split,
     so a node with very many neighbours stays in no single task. Edges never multiply: a round keeps at most as
-    many as it got. Every round is staged in the shared folder and the one before is deleted.
+    many as it got. tasks: how many tasks the given edges deserve, if that is known. Every round is staged in the shared folder and the one before is deleted.
     """
-    current, before = stage(_oriented(edges), "edges"), None
+    current = stage(_oriented(edges), "edges", tasks)
+    before = None
     while True:
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = tuple(mark)
-        following = stage(_oriented(_small_star(_large_star(current))), "edges")
+        before, tasks = tuple(mark), tasks_for(mark[0], 200_000)
+        following = stage(_oriented(_small_star(_large_star(current).coalesce(tasks), tasks)), "edges", tasks)
         drop_stage(current)
         current = following
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
@@ -45,7 +46,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Link every node and its smaller neighbours to the smallest of them."""
     edges = _oriented(edges)
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -53,4 +54,5 @@ def _small_star(edges: DataFrame) -> DataFrame:
         edges.join(least, "a")
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
         .union(least.select("a", F.col("m").alias("b")))
+        .coalesce(tasks)
     )

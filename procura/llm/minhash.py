@@ -3,10 +3,10 @@
 Method. Each distinct shingle hash falls into one of `BANDS * ROWS` bins and each bin keeps its least hash; an
 empty bin borrows from a non-empty one chosen by a hash of (bin, attempt), the optimal densification. Bands of
 `ROWS` bins give bucket keys. A bucket yields star edges only: from one centre to every other member, so a bucket
-of k documents gives k - 1 candidate pairs. Candidates are confirmed on full shingle sets. A bucket that still
-spans several components is open: next it gets 16, then 256, ... centres, and only pairs between components that
-were never compared are added. When every member of every open bucket has been a centre or lies in one component,
-no link that the buckets hold can be missing.
+of k documents gives k - 1 candidate pairs. A bucket that still spans several components after that is open: its
+members go to finer buckets, keyed by pairs of bands, with three more stars each, between components only. So pair counts
+stay in proportion to documents. Candidates whose signatures lie six standard deviations below the threshold are left
+out, all others are confirmed on full shingle sets; no bucket, however large, is capped or skipped.
 
 Defined cases: null or empty text, or text without words, has no shingles and links with nothing; fewer words
 than a shingle make one shingle of the whole sequence; documents with equal sets form one class before anything
@@ -15,20 +15,22 @@ else; repeated ids count once; a null id is kept with component null. Other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura.llm.graph import components
-from procura.llm.stage import stage
+from procura.llm.stage import stage, tasks_for
 from procura.llm.words import buffer_of, mix, shingles, slices, word_hashes
 
 BANDS, ROWS, WORDS = 32, 4, 5
-#: In open buckets the number of centres grows by this factor from round to round.
-STARS = 16
+#: Fine buckets join a band with each of the NEXT following ones and get TURNS stars.
+NEXT, TURNS = 4, 3
+#: Signatures rule a pair out only this many standard deviations below the threshold.
+DEVIATIONS = 6.0
 BINS = BANDS * ROWS
 
 
@@ -69,16 +71,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(x) for x in sets])
             some = np.flatnonzero(sizes)
             low, high = np.zeros(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
-            lists = pa.nulls(len(sets), pa.list_(pa.int64()))
+            lists, brief = pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())
             if len(some):
                 values = np.concatenate(sets)
                 at = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
                 low[some] = np.add.reduceat(values, at).view(np.int64)
                 high[some] = np.add.reduceat(mix(values), at).view(np.int64)
-                keys = band_keys(signatures(values, np.repeat(np.arange(len(some)), sizes[some]), len(some)))
+                least = signatures(values, np.repeat(np.arange(len(some)), sizes[some]), len(some))
+                keys = band_keys(least)
+                short = np.full(len(sets), b"", dtype=object)
+                short[some] = [row.tobytes() for row in mix(least).astype(np.uint16)]
+                brief = pa.array(short.tolist(), pa.binary())
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists], ["doc_id", "n_shingles", "low", "high", "bands"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists, brief], ["doc_id", "n_shingles", "low", "high", "bands", "signature"])
 
 
 def _confirm(threshold: int):
@@ -106,49 +112,37 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(
-        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>"), "signatures"
+        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>, signature binary"), "signatures"
     )
     ids = signed.filter("doc_id is not null")
     classes = stage(
-        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), "n_shingles"),
+        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), "r.bands", "r.signature", "n_shingles"),
         "classes",
     )
-    found = components(_links(classes, texts, threshold)).withColumnRenamed("node", "rep")
+    tasks = tasks_for(classes.count())
+    found = components(_links(classes, texts, threshold, tasks), tasks).withColumnRenamed("node", "rep")
     reps = classes.join(found, "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
     return (
         signed.select("doc_id", "n_shingles", "low", "high")
         .join(reps, ["low", "high"], "left")
-        .withColumn("component_id", F.coalesce("component", "doc_id"))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
 
 
-def _links(classes: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _links(classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) -> DataFrame:
     """Confirmed links between class representatives that suffice for the components."""
     members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = stage(members.join(crowded, "key").select("key", "rep", "n_shingles"), "buckets")
-    centres = members.groupBy("key").agg(F.min(_rank()).alias("c")).select("key", "c.*")
-    pairs = _compatible(members.join(centres, "key"), threshold).distinct()
-    compared = _compare(pairs, texts, threshold)
-    stars = 1
-    while True:
-        links = compared.filter("linked").select("a", "b")
-        labels = components(links).withColumnRenamed("node", "rep")
-        open_members = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = open_members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter(F.col("x") < F.col("y")).filter(F.col("n") > stars).select("key", "n")
-        mixed = stage(mixed, "mixed")
-        largest = mixed.agg(F.max("n")).first()[0]
-        if largest is None or (stars == 1 and largest < 3):
-            return links
-        stars *= STARS
-        compared = compared.union(_compare(_more_stars(open_members.join(mixed, "key"), compared, threshold, stars), texts, threshold))
-        if largest <= stars:
-            return compared.filter("linked").select("a", "b")
-
-
-def _rank() -> Column:
-    return F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("centre"), F.col("n_shingles").alias("size"))
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min(_rank(0)).alias("c")).filter("crowd > 1").select("key", "crowd", "c.*")
+    buckets = stage(members.join(crowded, "key"), "buckets")
+    first = _compare(_compatible(buckets, threshold).distinct(), classes, texts, threshold, tasks)
+    fine = _fine_stars(buckets, classes, components(first.filter("linked").select("a", "b"), tasks), threshold, tasks)
+    second = _compare(fine.join(first.select("a", "b"), ["a", "b"], "left_anti"), classes, texts, threshold, tasks)
+    return first.union(second).filter("linked").select("a", "b")
+
+
+def _rank(turn: int) -> Column:
+    return F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("centre"), F.col("n_shingles").alias("size"))
 
 
 def _compatible(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -160,26 +154,55 @@ def _compatible(pairs: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _more_stars(members: DataFrame, compared: DataFrame, threshold: int, stars: int) -> DataFrame:
-    """Pairs with the `stars` first members of each open bucket as centres, between components only and not compared yet."""
-    ranked = members.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")))
-    centres = ranked.filter(F.col("turn") <= stars).select(
-        "key", F.col("turn").alias("centre_turn"), F.col("rep").alias("centre"), F.col("n_shingles").alias("size"), F.col("component").alias("other")
-    )
-    pairs = _compatible(ranked.join(centres, "key").filter("turn > centre_turn and component <> other"), threshold).distinct()
-    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+def _fine_stars(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int, tasks: int) -> DataFrame:
+    """Pairs between components from the fine buckets of open ones: a band's key together with each of the NEXT bands
+    after it, TURNS stars each."""
+    labels = labels.select(F.col("node").alias("rep"), "component")
+    known = buckets.filter("crowd > 2").select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    inside = known.join(mixed, "key").groupBy("rep", "component").agg(F.collect_set("key").alias("keys"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.array_contains("keys", F.get("bands", i)))
+    pairs_of = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.xxhash64(F.get("bands", i), F.get("bands", (i + d) % BANDS)))))
+    inside = inside.coalesce(tasks)
+    fine = inside.join(classes.select("rep", "n_shingles", "bands"), "rep").select("rep", "component", "n_shingles", F.explode(pairs_of).alias("fine"))
+    stars = fine.groupBy("fine").agg(F.min("component").alias("x"), F.max("component").alias("y"), *[F.min(_with_component(t)).alias(f"c{t}") for t in range(1, TURNS + 1)]).filter("x < y")
+    stars = stars.select("fine", F.explode(F.array_distinct(F.array(*[F.col(f"c{t}").dropFields("h") for t in range(1, TURNS + 1)]))).alias("c")).select("fine", "c.*")
+    return _compatible(fine.join(stars, "fine").filter("component <> other"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_component(turn: int) -> Column:
+    return _rank(turn).withField("other", F.col("component"))
+
 
+def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) -> DataFrame:
+    """(a, b, linked): pairs whose signatures leave a link possible, each confirmed on the full shingle sets."""
+    outline = classes.select("rep", "signature", "n_shingles")
+    both = pairs.join(outline.toDF("b", "signature_b", "size_b"), "b").join(outline.toDF("a", "signature_a", "size_a"), "a")
+    likely = stage(both.mapInArrow(_likely(threshold), "a long, b long"), "candidates", tasks)
+    return stage(_with_texts(likely, texts, tasks).mapInArrow(_confirm(threshold), "a long, b long, linked boolean"), "compared", tasks)
 
-def _compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, linked), each pair confirmed on the full shingle sets of both documents."""
-    pairs = stage(pairs, "candidates")
-    return stage(_with_texts(pairs, texts).mapInArrow(_confirm(threshold), "a long, b long, linked boolean"), "compared")
+
+def _likely(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose signatures agree in no less than the threshold's share of bins minus DEVIATIONS standard deviations;
+    the deviation follows the number of bins that the smaller set fills."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = threshold / 100
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BINS) for c in ("signature_a", "signature_b"))
+            size = np.minimum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+            filled = BINS * (1 - np.exp(-size / BINS))
+            good = (x == y).mean(axis=1) >= t - DEVIATIONS * np.sqrt(t * (1 - t) / filled)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """Texts of both documents of each pair. The corpus is shuffled once, by id, against the ids in use; then only
     texts in use move, to their centre, where a join of plain keys lets adaptive execution split a popular centre."""
-    used = pairs.select(F.col("b").alias("doc_id")).union(pairs.select("a")).distinct()
-    own = stage(texts.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    members = pairs.join(own.select(F.col("doc_id").alias("b"), "text"), "b")
-    return members.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("centre_text")), "a").select("a", "b", "text", "centre_text")
+    used = pairs.select(F.col("b").alias("doc_id")).union(pairs.select("a")).distinct().coalesce(tasks)
+    own = stage(texts.join(used.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", tasks)
+    members = pairs.join(own.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
+    centres = own.select(F.col("doc_id").alias("a"), F.col("text").alias("centre_text"))
+    return members.join(centres.hint("merge"), "a").select("a", "b", "text", "centre_text")

@@ -19,10 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"procura-llm-{spark.sparkContext.applicationId}")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def tasks_for(rows: int, per_task: int = 20_000) -> int:
+    """How many tasks a table of so many rows deserves: 8 at least, and one more per per_task rows without any limit."""
+    return max(8, -(-rows // per_task))
+
+
+def stage(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, and a lost
-    executor costs nothing that was staged."""
+    executor costs nothing that was staged. tasks: join the partitions of a small table into so many."""
     spark = df.sparkSession
+    df = df.coalesce(tasks) if tasks else df
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
