@@ -70,7 +70,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingles(hashes, starts, WORDS))
             sizes = np.array([len(x) for x in sets])
             some = np.flatnonzero(sizes)
-            low, high = np.zeros(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
+            low, high, left, right = (np.zeros(len(sets), dtype=np.int64) for _ in range(4))
             lists, brief = pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())
             if len(some):
                 values = np.concatenate(sets)
@@ -82,9 +82,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = np.full(len(sets), b"", dtype=object)
                 short[some] = [row.tobytes() for row in mix(least).astype(np.uint16)]
                 brief = pa.array(short.tolist(), pa.binary())
+                bits = np.packbits((mix(least) & np.uint64(1)).astype(bool), axis=1).view(">i8").astype(np.int64)
+                left[some], right[some] = bits[:, 0], bits[:, 1]
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists, brief], ["doc_id", "n_shingles", "low", "high", "bands", "signature"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists, brief, pa.array(left), pa.array(right)], ["doc_id", "n_shingles", "low", "high", "bands", "signature", "left", "right"])
 
 
 def _confirm(threshold: int):
@@ -112,11 +114,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(
-        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>, signature binary"), "signatures"
+        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>, signature binary, left long, right long"), "signatures"
     )
     ids = signed.filter("doc_id is not null")
     classes = stage(
-        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), "r.bands", "r.signature", "n_shingles"),
+        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "signature", "left", "right")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), "r.bands", "r.signature", "r.left", "r.right", "n_shingles"),
         "classes",
     )
     tasks = tasks_for(classes.count())
@@ -164,14 +166,25 @@ def _fine_stars(buckets: DataFrame, classes: DataFrame, labels: DataFrame, thres
     places = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.array_contains("keys", F.get("bands", i)))
     pairs_of = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.xxhash64(F.get("bands", i), F.get("bands", (i + d) % BANDS)))))
     inside = inside.coalesce(tasks)
-    fine = inside.join(classes.select("rep", "n_shingles", "bands"), "rep").select("rep", "component", "n_shingles", F.explode(pairs_of).alias("fine"))
+    fine = inside.join(classes.select("rep", "n_shingles", "bands", "left", "right"), "rep").select("rep", "component", "n_shingles", "left", "right", F.explode(pairs_of).alias("fine"))
     stars = fine.groupBy("fine").agg(F.min("component").alias("x"), F.max("component").alias("y"), *[F.min(_with_component(t)).alias(f"c{t}") for t in range(1, TURNS + 1)]).filter("x < y")
     stars = stars.select("fine", F.explode(F.array_distinct(F.array(*[F.col(f"c{t}").dropFields("h") for t in range(1, TURNS + 1)]))).alias("c")).select("fine", "c.*")
-    return _compatible(fine.join(stars, "fine").filter("component <> other"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = fine.join(stars, "fine").filter("component <> other").filter(_few_flips(threshold))
+    return _compatible(near, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _with_component(turn: int) -> Column:
-    return _rank(turn).withField("other", F.col("component"))
+    return _rank(turn).withField("other", F.col("component")).withField("left_c", F.col("left")).withField("right_c", F.col("right"))
+
+
+def _few_flips(threshold: int) -> Column:
+    """Whether the one-bit sketches (the parity of every bin) differ in no more bins than a link may, DEVIATIONS standard
+    deviations allowed, as in _likely: a bin that disagrees flips its bit half of the time."""
+    flip = (1 - threshold / 100) / 2
+    filled = BINS * (1 - F.exp(-F.least("n_shingles", "size") / BINS))
+    limit = BINS * flip + DEVIATIONS * F.sqrt(BINS * flip * (1 - flip) * BINS / filled)
+    flips = F.bit_count(F.col("left").bitwiseXOR(F.col("left_c"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("right_c")))
+    return flips <= limit
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) -> DataFrame:
