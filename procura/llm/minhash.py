@@ -2,11 +2,11 @@
 
 Method. Each distinct shingle hash falls into one of `BANDS * ROWS` bins and each bin keeps its least hash; an
 empty bin borrows from a non-empty one chosen by a hash of (bin, attempt), the optimal densification. Bands of
-`ROWS` bins give bucket keys. A bucket yields star edges only: from one centre to every other member, so a bucket
-of k documents gives k - 1 candidate pairs. A bucket that still spans several components after that is open: its
-members go to finer buckets, keyed by pairs of bands, with three more stars each, between components only. So pair counts
-stay in proportion to documents. Candidates whose signatures lie six standard deviations below the threshold are left
-out, all others are confirmed on full shingle sets; no bucket, however large, is capped or skipped.
+`ROWS` bins give bucket keys. A bucket first yields star edges: from its centre, the member that shares most buckets
+with others, to every other member, so a bucket of k documents gives k - 1 candidate pairs. In a bucket that still spans
+several components after that, every pair of members of different components is compared, in blocks of `BLOCK` members
+joined by Spark; a block pair sends on links, never pairs. Candidates whose signatures lie six standard deviations below
+the threshold are left out, all others are confirmed on full shingle sets; no bucket, however large, is capped or skipped.
 
 Defined cases: null or empty text, or text without words, has no shingles and links with nothing; fewer words
 than a shingle make one shingle of the whole sequence; documents with equal sets form one class before anything
@@ -27,8 +27,8 @@ from procura.llm.stage import stage, tasks_for
 from procura.llm.words import buffer_of, mix, shingles, slices, word_hashes
 
 BANDS, ROWS, WORDS = 32, 4, 5
-#: Fine buckets join a band with each of the NEXT following ones and get TURNS stars.
-NEXT, TURNS = 4, 3
+#: Members, and shingles, that a block of an open bucket holds about.
+BLOCK, BLOCK_SHINGLES = 256, 500_000
 #: Signatures rule a pair out only this many standard deviations below the threshold.
 DEVIATIONS = 6.0
 BINS = BANDS * ROWS
@@ -70,7 +70,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingles(hashes, starts, WORDS))
             sizes = np.array([len(x) for x in sets])
             some = np.flatnonzero(sizes)
-            low, high, left, right = (np.zeros(len(sets), dtype=np.int64) for _ in range(4))
+            low, high = (np.zeros(len(sets), dtype=np.int64) for _ in range(2))
             lists, brief = pa.nulls(len(sets), pa.list_(pa.int64())), pa.nulls(len(sets), pa.binary())
             if len(some):
                 values = np.concatenate(sets)
@@ -82,11 +82,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short = np.full(len(sets), b"", dtype=object)
                 short[some] = [row.tobytes() for row in mix(least).astype(np.uint16)]
                 brief = pa.array(short.tolist(), pa.binary())
-                bits = np.packbits((mix(least) & np.uint64(1)).astype(bool), axis=1).view(">i8").astype(np.int64)
-                left[some], right[some] = bits[:, 0], bits[:, 1]
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists, brief, pa.array(left), pa.array(right)], ["doc_id", "n_shingles", "low", "high", "bands", "signature", "left", "right"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(low), pa.array(high), lists, brief], ["doc_id", "n_shingles", "low", "high", "bands", "signature"])
 
 
 def _confirm(threshold: int):
@@ -114,11 +112,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(
-        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>, signature binary, left long, right long"), "signatures"
+        texts.mapInArrow(_signatures, "doc_id long, n_shingles long, low long, high long, bands array<long>, signature binary"), "signatures"
     )
     ids = signed.filter("doc_id is not null")
     classes = stage(
-        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "signature", "left", "right")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), "r.bands", "r.signature", "r.left", "r.right", "n_shingles"),
+        ids.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("r")).select("low", "high", F.col("r.doc_id").alias("rep"), "r.bands", "r.signature", "n_shingles"),
         "classes",
     )
     tasks = tasks_for(classes.count())
@@ -135,16 +133,17 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
 def _links(classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) -> DataFrame:
     """Confirmed links between class representatives that suffice for the components."""
     members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min(_rank(0)).alias("c")).filter("crowd > 1").select("key", "crowd", "c.*")
-    buckets = stage(members.join(crowded, "key"), "buckets")
-    first = _compare(_compatible(buckets, threshold).distinct(), classes, texts, threshold, tasks)
-    fine = _fine_stars(buckets, classes, components(first.filter("linked").select("a", "b"), tasks), threshold, tasks)
-    second = _compare(fine.join(first.select("a", "b"), ["a", "b"], "left_anti"), classes, texts, threshold, tasks)
-    return first.union(second).filter("linked").select("a", "b")
+    crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    buckets = stage(members.join(crowds, "key"), "buckets")
+    fame = buckets.groupBy("rep").agg(F.sum("crowd").alias("fame"))
+    centres = buckets.join(fame, "rep").groupBy("key").agg(F.max(_rank()).alias("c")).select("key", "c.centre", "c.size")
+    starred = _compare(_compatible(buckets.join(centres, "key"), threshold).distinct(), classes, texts, threshold, tasks).filter("linked").select("a", "b")
+    return starred.union(_rest(buckets, classes, texts, components(starred, tasks), threshold, tasks))
 
 
-def _rank(turn: int) -> Column:
-    return F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("centre"), F.col("n_shingles").alias("size"))
+def _rank() -> Column:
+    """The member that shares most buckets with others comes first: the base of a group rather than one of its copies."""
+    return F.struct("fame", F.xxhash64("rep").alias("h"), F.col("rep").alias("centre"), F.col("n_shingles").alias("size"))
 
 
 def _compatible(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -156,35 +155,94 @@ def _compatible(pairs: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _fine_stars(buckets: DataFrame, classes: DataFrame, labels: DataFrame, threshold: int, tasks: int) -> DataFrame:
-    """Pairs between components from the fine buckets of open ones: a band's key together with each of the NEXT bands
-    after it, TURNS stars each."""
+def _rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, threshold: int, tasks: int) -> DataFrame:
+    """Links (a, b) between components within the buckets that still span several: every such pair is compared, block against block.
+    Blocks hold members of the bucket's largest component or others, and two blocks of the largest one never meet."""
     labels = labels.select(F.col("node").alias("rep"), "component")
-    known = buckets.filter("crowd > 2").select("key", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    inside = known.join(mixed, "key").groupBy("rep", "component").agg(F.collect_set("key").alias("keys"))
-    places = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.array_contains("keys", F.get("bands", i)))
-    pairs_of = F.flatten(F.transform(places, lambda i: F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.xxhash64(F.get("bands", i), F.get("bands", (i + d) % BANDS)))))
-    inside = inside.coalesce(tasks)
-    fine = inside.join(classes.select("rep", "n_shingles", "bands", "left", "right"), "rep").select("rep", "component", "n_shingles", "left", "right", F.explode(pairs_of).alias("fine"))
-    stars = fine.groupBy("fine").agg(F.min("component").alias("x"), F.max("component").alias("y"), *[F.min(_with_component(t)).alias(f"c{t}") for t in range(1, TURNS + 1)]).filter("x < y")
-    stars = stars.select("fine", F.explode(F.array_distinct(F.array(*[F.col(f"c{t}").dropFields("h") for t in range(1, TURNS + 1)]))).alias("c")).select("fine", "c.*")
-    near = fine.join(stars, "fine").filter("component <> other").filter(_few_flips(threshold))
-    return _compatible(near, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = buckets.filter("crowd > 2").select("key", "rep", "n_shingles").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = stage(known, "known")
+    part = F.struct(F.count(F.lit(1)).alias("n"), "component", F.sum("n_shingles").alias("load"))
+    sizes = known.groupBy("key", "component").agg(part.alias("p")).groupBy("key").agg(F.max("p").alias("main"), F.sum("p.n").alias("n"), F.sum("p.load").alias("load")).filter("n > main.n")
+    blocks = lambda n, load: F.ceil(F.greatest(n / BLOCK, load / BLOCK_SHINGLES)).cast("int")
+    first, other = blocks(F.col("main.n"), F.col("main.load")), blocks(F.col("n") - F.col("main.n"), F.col("load") - F.col("main.load"))
+    sizes = sizes.select("key", F.col("main.component").alias("largest"), first.alias("first"), (first + other).alias("blocks"))
+    place = F.xxhash64("rep")
+    block = F.when(F.col("component") == F.col("largest"), F.pmod(place, F.col("first"))).otherwise(F.col("first") + F.pmod(place, F.col("blocks") - F.col("first")))
+    inside = stage(known.join(sizes, "key").select("key", "rep", "component", "first", "blocks", block.cast("int").alias("block")), "open", tasks)
+    used = inside.select("rep").distinct()
+    own = texts.join(used.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    outline = stage(classes.join(used, "rep").select("rep", "n_shingles", "bands", "signature").join(own.withColumnRenamed("doc_id", "rep"), "rep"), "outline", tasks)
+    row = F.struct("rep", "component", "n_shingles", "bands", "signature", "text")
+    held = stage(inside.join(outline, "rep").groupBy("key", "block", "first", "blocks").agg(F.collect_list(row).alias("x")), "blocks")
+    meets = F.explode(F.sequence(F.greatest("block", "first"), F.col("blocks") - 1)).alias("other")
+    left = held.select("key", "block", "x", meets)
+    right = held.filter("block >= first").select("key", F.col("block").alias("other"), F.col("x").alias("y"))
+    met = left.join(right, ["key", "other"]).select("key", (F.col("block") == F.col("other")).alias("same"), "x", "y")
+    return stage(met.mapInArrow(_blocks(threshold), "a long, b long").distinct(), "rest", tasks)
+
+
+class _Members:
+    """The members of one block; shingle sets are made when they are first wanted."""
+
+    def __init__(self, rows: pa.StructArray):
+        column = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+        self.rep, self.component, self.size = (column[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        self.bands = column["bands"].flatten().to_numpy().reshape(-1, BANDS)
+        self.signature = np.frombuffer(b"".join(column["signature"].to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+        self._texts, self._sets = column["text"], {}
+
+    def shingles(self, i: int) -> np.ndarray:
+        if i not in self._sets:
+            self._sets[i] = next(shingles(*word_hashes(buffer_of(self._texts.slice(i, 1))), WORDS))
+        return self._sets[i]
+
+
+def _blocks(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between components of two blocks. A pair is looked at in its first common bucket only, and not if links
+    found in the same two blocks have joined its components already."""
+
+    def links(key: int, same: bool, x: _Members, y: _Members) -> Iterator[tuple[int, int]]:
+        joined: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        for i in range(len(x.rep)):
+            small, large = np.minimum(x.size[i], y.size), np.maximum(x.size[i], y.size)
+            good = (y.component != x.component[i]) & (100 * small >= threshold * large)
+            if same:
+                good[: i + 1] = False
+            at = np.flatnonzero(good)
+            at = at[(x.signature[i] == y.signature[at]).mean(axis=1) >= _least_agreement(small[at], threshold)]
+            at = at[x.bands[i][(x.bands[i] == y.bands[at]).argmax(axis=1)] == key]
+            for j in at.tolist():
+                a, b = find(int(x.component[i])), find(int(y.component[j]))
+                if a == b:
+                    continue
+                own, other = x.shingles(i), y.shingles(j)
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * common >= threshold * (len(own) + len(other) - common):
+                    joined[max(a, b)] = min(a, b)
+                    yield int(x.rep[i]), int(y.rep[j])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, same, x, y in zip(*(batch.column(c) for c in ("key", "same", "x", "y")), strict=True):
+                found += links(key.as_py(), same.as_py(), _Members(x.values), _Members(y.values))
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-def _with_component(turn: int) -> Column:
-    return _rank(turn).withField("other", F.col("component")).withField("left_c", F.col("left")).withField("right_c", F.col("right"))
+    return run
 
 
-def _few_flips(threshold: int) -> Column:
-    """Whether the one-bit sketches (the parity of every bin) differ in no more bins than a link may, DEVIATIONS standard
-    deviations allowed, as in _likely: a bin that disagrees flips its bit half of the time."""
-    flip = (1 - threshold / 100) / 2
-    filled = BINS * (1 - F.exp(-F.least("n_shingles", "size") / BINS))
-    limit = BINS * flip + DEVIATIONS * F.sqrt(BINS * flip * (1 - flip) * BINS / filled)
-    flips = F.bit_count(F.col("left").bitwiseXOR(F.col("left_c"))) + F.bit_count(F.col("right").bitwiseXOR(F.col("right_c")))
-    return flips <= limit
+def _least_agreement(size: np.ndarray, threshold: int) -> np.ndarray:
+    """Share of bins that a link's signatures agree in: the threshold minus DEVIATIONS standard deviations; the deviation
+    follows the number of bins that the smaller set fills."""
+    t = threshold / 100
+    return t - DEVIATIONS * np.sqrt(t * (1 - t) / (BINS * (1 - np.exp(-size / BINS))))
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) -> DataFrame:
@@ -196,17 +254,13 @@ def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, threshold:
 
 
 def _likely(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs whose signatures agree in no less than the threshold's share of bins minus DEVIATIONS standard deviations;
-    the deviation follows the number of bins that the smaller set fills."""
+    """Pairs whose signatures leave a link possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = threshold / 100
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BINS) for c in ("signature_a", "signature_b"))
             size = np.minimum(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
-            filled = BINS * (1 - np.exp(-size / BINS))
-            good = (x == y).mean(axis=1) >= t - DEVIATIONS * np.sqrt(t * (1 - t) / filled)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= _least_agreement(size, threshold)))
 
     return run
 

@@ -83,3 +83,32 @@ def test_densified_signatures_estimate_the_similarity():
     least = minhash.signatures(values, np.repeat([0, 1], 90), 2)
     assert abs((least[0] == least[1]).mean() - 0.8) < 0.15
     assert not (least == np.iinfo(np.uint64).max).any()
+
+
+def test_a_hub_joins_thousands_of_spokes_that_are_unlike_each_other(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(154)]
+    docs = [(5000, " ".join(base))]
+    for i in range(2000):
+        copy = list(base)
+        for at in rng.sample(range(10, 140), 2):
+            copy[at] = word()
+        docs.append((i, " ".join(copy)))
+    found = {r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {0}
+
+
+def test_links_that_no_star_shows_are_found_in_full(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, docs = [word() for _ in range(150)], []
+    for i in range(0, 600, 2):
+        copy = list(base)
+        for at in rng.sample(range(150), 4):
+            copy[at] = word()
+        docs.append((i, " ".join(copy)))
+        copy[rng.randrange(150)] = word()
+        docs.append((i + 1, " ".join(copy)))
+    found = {i: c for i, (_, c, _) in result(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
+    assert found == {i: c for i, (_, c) in brute(docs, 85).items()}
