@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Method. Words are lower-cased; numbers, units and names become typed placeholders (a name is a capitalised word, not all
-in capitals, that does not begin a sentence). A second form leaves names as they are, since text all in capitals shows none. Windows of `WINDOW_WORDS` canonical words with at least `LITERAL` plain words are
+in capitals, that does not begin a sentence). A second form leaves names as they are, since text all in capitals shows none;
+a third one is verbatim. Windows of `WINDOW_WORDS` canonical words, in the first two forms with at least `LITERAL` plain words, are
 hash-joined with the windows of the benchmark items. A hit counts if its slots are consistent: over all hits of a
 document with an item on one alignment, equal values in the item stand against equal values in the document, and
 different against different. Items re-asked with other numbers, names or units are found too and marked.
@@ -11,7 +12,7 @@ A bitmap of fixed size over the benchmark's window hashes thins the documents' w
 hits fall out in the join, so its size limits nothing but speed. No text is shuffled.
 
 Defined cases: null or empty texts have no windows; an item with fewer words than a window is matched by one window of
-its whole length if it has `LITERAL` plain words, else it is too unspecific and matches nothing; repeated rows of a
+its whole length, or by nothing if it has fewer than `LITERAL` words, which are too unspecific; repeated rows of a
 document or an item count once; null ids are left out.
 """
 
@@ -109,9 +110,10 @@ def _windows(lengths: list[int], bitmap: np.ndarray | None, whole_short: bool) -
                 hashes, own, kinds, starts = canonical(buffer_of(part.column("text")))
                 words = np.diff(starts)
                 row_of = np.repeat(np.arange(len(part)), words)
-                values = np.where(kinds > 0, own | np.uint64(1), np.uint64(0))
-                for form, tokens, literal in ((0, hashes, kinds == 0), (1, own, kinds < 2)):
-                    plain = np.concatenate([[0], np.cumsum(literal)])
+                for form, typed in enumerate((kinds > 0, kinds == 2, np.zeros(len(kinds), dtype=bool))):
+                    tokens = np.where(typed, hashes, own)
+                    values = np.where(typed, own | np.uint64(1), np.uint64(0))
+                    plain = np.concatenate([[0], np.cumsum(~typed)])
                     for size in lengths:
                         rolled = rolling(tokens, size) ^ np.uint64(2 * size + form)
                         at = np.arange(len(rolled))

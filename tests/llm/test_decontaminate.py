@@ -66,3 +66,19 @@ def test_repeats_null_ids_empty_tables_and_foreign_columns(spark):
     assert [(r.doc_id, r.item_id, r.n_hits, r.n_windows) for r in found] == [(1, 1, found[0].n_windows, found[0].n_windows)]
     assert decontaminate.contaminations(docs.limit(0), items).collect() == []
     assert decontaminate.contaminations(docs, items.limit(0)).collect() == []
+
+
+def test_items_of_numbers_and_units_are_found_word_for_word(spark):
+    table = "12 kg 30 kg 7 cm 19 km 250 ml 3 hours 44 miles 8 weeks add 5 and 6"
+    items = [(1, table), (2, "3 + 4 + 5 + 6 + 7")]
+    docs = [(1, "see the list: " + table + " end"), (2, "sum 3 + 4 + 5 + 6 + 7 now"), (3, "12 kg of rice and 30 kg of flour"), (4, "3 + 4 + 5 + 6 + 8")]
+    found = run(spark, docs, items)
+    assert {k: (v.n_hits, v.n_windows, v.reworded) for k, v in found.items()} == {(1, 1): (11, 11, False), (2, 2): (1, 1, False)}
+
+
+def test_capitals_show_numbers_as_slots(spark):
+    item = "we know that Alice buys 3 apples and 4 pears and 5 plums from Bob and 6 figs and 7 nuts from Carl"
+    copy = item.upper()
+    for n in "34567":
+        copy = copy.replace(n, str(int(n) + 10))
+    assert {k: v.reworded for k, v in run(spark, [(1, copy)], [(1, item)]).items()} == {(1, 1): True}
