@@ -2,7 +2,8 @@
 
 Method. Words are lower-cased; numbers, units and names become typed placeholders (a name is a capitalised word, not all
 in capitals, that does not begin a sentence). A second form leaves names as they are, since text all in capitals shows none;
-a third one is verbatim. Windows of `WINDOW_WORDS` canonical words, in the first two forms with at least `LITERAL` plain words, are
+a third one is verbatim; in a fourth one every capitalised word is a name, also one that begins a sentence. Windows of
+`WINDOW_WORDS` canonical words, unless verbatim with at least `LITERAL` plain words, are
 hash-joined with the windows of the benchmark items. A hit counts if its slots are consistent: over all hits of a
 document with an item on one alignment, equal values in the item stand against equal values in the document, and
 different against different. Items re-asked with other numbers, names or units are found too and marked.
@@ -52,7 +53,8 @@ def _unit_hashes() -> np.ndarray:
 
 
 def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical hash, own hash, kind: 0 plain, 1 name, 2 number or unit; row start of words) of all words."""
+    """(mark of the kind, own hash, kind: 0 plain, 1 name, 2 number or unit, 3 capitalised at the begin of a sentence; row start of
+    words) of all words."""
     data, offsets = buffer
     folded = data
     accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
@@ -83,10 +85,9 @@ def canonical(buffer: Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         follows = (previous > 0) & (np.searchsorted(offsets, previous, side="left") == np.searchsorted(offsets, words.starts, side="right"))
         name = capital & inside & follows & ~number & ~unit & (previous >= words.first)
         mark = np.where(number, _MARKS["number"], np.where(unit, _MARKS["unit"], _MARKS["name"]))
-        typed = number | unit | name
-        hashes.append(np.where(typed, mark, own))
+        hashes.append(mark)
         values.append(own)
-        kinds.append(np.where(number | unit, 2, np.where(name, 1, 0)))
+        kinds.append(np.where(number | unit, 2, np.where(name, 1, np.where(capital, 3, 0))))
         begins.append(words.starts)
         before = int(words.ends[-1]) if len(words.ends) else before
     if not hashes:
@@ -107,15 +108,15 @@ def _windows(lengths: list[int], bitmap: np.ndarray | None, whole_short: bool) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, own, kinds, starts = canonical(buffer_of(part.column("text")))
+                marks, own, kinds, starts = canonical(buffer_of(part.column("text")))
                 words = np.diff(starts)
                 row_of = np.repeat(np.arange(len(part)), words)
-                for form, typed in enumerate((kinds > 0, kinds == 2, np.zeros(len(kinds), dtype=bool))):
-                    tokens = np.where(typed, hashes, own)
+                for form, typed in enumerate(((kinds == 1) | (kinds == 2), kinds == 2, np.zeros(len(kinds), dtype=bool), kinds > 0)):
+                    tokens = np.where(typed, marks, own)
                     values = np.where(typed, own | np.uint64(1), np.uint64(0))
                     plain = np.concatenate([[0], np.cumsum(~typed)])
                     for size in lengths:
-                        rolled = rolling(tokens, size) ^ np.uint64(2 * size + form)
+                        rolled = rolling(tokens, size) ^ np.uint64(4 * size + form)
                         at = np.arange(len(rolled))
                         good = (row_of[: len(at)] == row_of[at + size - 1]) & (plain[size:] - plain[: len(at)] >= min(LITERAL, size))
                         if whole_short and size < WINDOW_WORDS:

@@ -82,3 +82,13 @@ def test_capitals_show_numbers_as_slots(spark):
     for n in "34567":
         copy = copy.replace(n, str(int(n) + 10))
     assert {k: v.reworded for k, v in run(spark, [(1, copy)], [(1, item)]).items()} == {(1, 1): True}
+
+
+def test_names_that_begin_sentences_may_be_others(spark):
+    item = "Alice has 3 apples in a basket. Bob gives her 5 more of them. Alice eats 2 and hands the rest to Carl."
+    docs = [
+        (1, "Zed has 4 apples in a basket. Mia gives her 6 more of them. Zed eats 1 and hands the rest to Tom."),
+        (2, "Note that Zed has 4 apples in a basket. Mia gives her 6 more of them. Zed eats 1 and hands the rest to Tom."),
+        (3, "Zed has 4 apples in a basket. Zed gives her 6 more of them. Zed eats 1 and hands the rest to Zed."),
+    ]
+    assert {k: v.reworded for k, v in run(spark, docs, [(1, item)]).items()} == {(1, 1): True, (2, 1): True}
