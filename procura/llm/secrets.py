@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of these characters is matched whole
 KINDS = ("assign", "access", "hex", "literal")
 
 SCORE = 4.0
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _BARE = r"[A-Za-z0-9+/_.=~!@#$%^&*-]+"
 _PAIR = re.compile(
@@ -60,8 +62,8 @@ def name_score(name: str) -> float:
 
 
 def literal_score(literal: str) -> float:
-    words = {p.lower() for p in re.findall(r"[A-Za-z]+", literal)}
-    if len(literal) < 6 or words & PLACEHOLDERS or len(set(literal)) < 4 or re.match(r"^[$<{%]", literal):
+    words = {p.lower() for p in re.findall(r"[A-Za-z0-9]+", literal)}
+    if len(literal) < 6 or words <= PLACEHOLDERS or len(set(literal)) < 4 or re.match(r"^[$<{%]", literal):
         return -10.0
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     plain = bool(re.fullmatch(r"[A-Za-z][a-z]*(?:[ .,'-][A-Za-z]?[a-z]*)*", literal))
@@ -75,8 +77,8 @@ def _inner(text: str, start: int, end: int) -> tuple[int, int]:
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     """(name, spans of its literal) in order, constants propagated."""
     direct: list[tuple[str, list[tuple[int, int]]]] = []
-    names: dict[str, list[tuple[int, int]]] = {}
-    aliases: list[tuple[str, str]] = []
+    given: dict[str, list[_Given]] = {}
+    aliases: list[tuple[str, _Given]] = []
     for found in _PAIR.finditer(text):
         group = "value" if found["name"] else "given" if found["flag"] else "held"
         name = found["name"] or found["flag"] or found["tag"]
@@ -87,27 +89,36 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             while (more := _MORE.match(text, at)) and "\n" not in text[at : more.start("value")].strip(" \t\r\n+") and "+" in text[at : more.start("value")]:
                 spans.append(_inner(text, *more.span("value")))
                 at = more.end()
-        elif group == "value" and _IDENTIFIER.match(text[start:end].rstrip(";,")):
-            aliases.append((name, text[start:end].rstrip(";,")))
+        source = text[start:end].rstrip(";,")
+        one = _Given(start, spans, source if group == "value" and _IDENTIFIER.match(source) else None)
+        if one.source:
+            aliases.append((name, one))
         direct.append((name, spans))
-        if text[start] in "\"'`":
-            names.setdefault(name, spans)
-    passed = [(name, names[source]) for name, source in _resolved(aliases) if source in names]
-    return direct + passed
-
-
-def _resolved(aliases: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Each alias with the name at the end of its chain; cycles are left out."""
-    target = dict(aliases)
-    out = []
-    for name, source in aliases:
-        seen = {name}
-        while source in target and source not in seen:
-            seen.add(source)
-            source = target[source]
-        if source not in seen:
-            out.append((name, source))
-    return out
+        given.setdefault(name, []).append(one)
+    return direct + [(name, spans) for name, one in aliases if (spans := _resolved(one, given))]
+
+
+class _Given(NamedTuple):
+    """What one assignment gives to its name: a literal, or perhaps the value of the name `source`."""
+
+    at: int
+    spans: list[tuple[int, int]]
+    source: str | None
+
+
+def _resolved(one: _Given, given: dict[str, list[_Given]]) -> list[tuple[int, int]] | None:
+    """The literal at the end of an alias's chain: of each name the last one given before the alias, else the first one after
+    it; null if there is none or the chain is a cycle."""
+    if one.source not in given:
+        return None
+    seen = set()
+    while one.source in given:
+        if one.at in seen:
+            return None
+        seen.add(one.at)
+        places = given[one.source]
+        one = places[max(bisect_left(places, one.at, key=lambda g: g.at) - 1, 0)]
+    return one.spans
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
