@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, embeddings, minhash, pii, secrets, sentencepieces, toxicity, urls, webpages
+from procura.llm import chat, decontaminate, embeddings, manifest, minhash, pii, secrets, sentencepieces, toxicity, urls, webpages
 
 #: A stand-in for the secret that a deployment keeps elsewhere.
 PII_KEY = "public test key"
@@ -95,9 +97,25 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymise(_read(spark, folder, "documents").select("doc_id", "text"), PII_KEY)
 
 
+#: Fields of a document's leaf, in their order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select(*LEAF)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(chosen, manifest.leaf_digest([F.col(c) if c != "text" else lowered for c in LEAF]))
+    proofs = manifest.manifest(docs.withColumn("changed", changed), LEAF, "lang", "doc_id", ("changed",))
+    folded = manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root")
+    )
+
+
 REGISTRY = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii)
+    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii, op11_merkle)
 }
 SQL = {
     "op2_embeddings": """
@@ -127,4 +145,43 @@ links as (
 reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach as r join links as l on r.b = l.a),
 least as (select a, min(b) as b from reach group by a)
 select doc_id, len(s)::bigint as n_shingles, b as component_id, doc_id = b as kept from s join least on a = doc_id""",
+    "op11_merkle": """
+with recursive b as (select *, [ascii(c) for c in string_split(doc_id::varchar, '')] as codes from documents),
+d as (
+  select *, xor(4294967295, list_reduce(codes, lambda a, c: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+      lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c::bigint)), 4294967295::bigint)) % 3 = 0 as chosen,
+    case when text is null then '-' else strlen(text) || ':' || text end as t,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as f from b),
+leaves as (
+  select row_number() over (order by lang nulls first, doc_id nulls first, sha256(f || t)) as id, doc_id, lang, sha256(f || t) as leaf,
+    case when chosen then sha256(f || case when text is null then '-' else strlen(low) || ':' || low end) else sha256(f || t) end as used,
+    row_number() over (partition by lang order by doc_id nulls first, sha256(f || t)) - 1 as p, count(*) over (partition by lang) as n from d),
+tree(g, l, p, n, h) as (
+  select lang, 0, p, n, leaf from leaves
+  union all
+  select g, l + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' order by p)) from tree where n > 1 group by g, l, p // 8, n),
+sub as (select g, l, h, row_number() over (order by g nulls first) - 1 as p, count(*) over () as n from tree where n = 1),
+top(l, p, n, h) as (
+  select 0, p, n, h from sub
+  union all
+  select l + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' order by p)) from top where n > 1 group by l, p // 8, n),
+step as (
+  select x.id, t.l, coalesce(string_agg(t.h, '' order by t.p) filter (t.p < (x.p // (8 ** t.l)::bigint)), '') as a,
+    coalesce(string_agg(t.h, '' order by t.p) filter (t.p > (x.p // (8 ** t.l)::bigint)), '') as b
+  from leaves as x join tree as t on t.g is not distinct from x.lang and t.n > 1 and t.p // 8 = x.p // (8 ** (t.l + 1))::bigint
+  group by x.id, x.p, t.l
+  union all
+  select x.id, s.l + t.l, coalesce(string_agg(t.h, '' order by t.p) filter (t.p < (s.p // (8 ** t.l)::bigint)), ''),
+    coalesce(string_agg(t.h, '' order by t.p) filter (t.p > (s.p // (8 ** t.l)::bigint)), '')
+  from leaves as x join sub as s on s.g is not distinct from x.lang join top as t on t.n > 1 and t.p // 8 = s.p // (8 ** (t.l + 1))::bigint
+  group by x.id, s.l, s.p, t.l),
+path as (select id, list({'a': a, 'b': b} order by l) as steps from step group by id),
+folded as (
+  select x.*, sha256(coalesce(list_reduce([s.a || s.b for s in steps], lambda m, s: m || s, ''), '')) as proof_sha256,
+    coalesce(list_reduce(steps, lambda m, s: {'a': sha256(s.a || m.a || s.b), 'b': ''}, {'a': used, 'b': ''}).a, used) as folded_root
+  from leaves as x left join path using (id))
+select x.doc_id, x.leaf, s.h as subroot, r.h as root, x.proof_sha256, x.folded_root, x.folded_root = r.h as verified
+from folded as x join sub as s on s.g is not distinct from x.lang cross join (select h from top where n = 1) as r""",
 }
