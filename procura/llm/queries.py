@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, embeddings, manifest, minhash, pii, secrets, sentencepieces, toxicity, urls, webpages
+from procura.llm import chat, decontaminate, embeddings, manifest, minhash, pii, secrets, sentencepieces, tokencounts, toxicity, urls, webpages
 
 #: A stand-in for the secret that a deployment keeps elsewhere.
 PII_KEY = "public test key"
@@ -113,9 +113,19 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Documents with more tokens are over the limit.
+TOKEN_LIMIT = 1024
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    counted = tokencounts.count(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 REGISTRY = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii, op11_merkle)
+    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii, op11_merkle, op12_token_counts)
 }
 SQL = {
     "op2_embeddings": """

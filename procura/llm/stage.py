@@ -24,13 +24,14 @@ def tasks_for(rows: int, per_task: int = 20_000) -> int:
     return max(8, -(-rows // per_task))
 
 
-def stage(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, tasks: int | None = None, **options: str | int) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends there, and a lost
-    executor costs nothing that was staged. tasks: join the partitions of a small table into so many."""
+    executor costs nothing that was staged. tasks: join the partitions of a small table into so many.
+    options: of the writer."""
     spark = df.sparkSession
     df = df.coalesce(tasks) if tasks else df
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
