@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import chat, decontaminate, embeddings, manifest, minhash, pii, secrets, sentencepieces, tokencounts, toxicity, urls, webpages
+from procura.llm import chat, decontaminate, embeddings, manifest, minhash, periods, pii, secrets, sentencepieces, tokencounts, toxicity, urls, webpages
 
 #: A stand-in for the secret that a deployment keeps elsewhere.
 PII_KEY = "public test key"
@@ -123,10 +123,41 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; from a place on, one document in ten repeats its own words (joined by one space)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    drawn = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    drawn = drawn.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    drawn = drawn.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    repeated = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a))")
+    return drawn.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.find(with_planted_repeats(_read(spark, folder, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 REGISTRY = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii, op11_merkle, op12_token_counts)
+    for f in (op1_toxicity, op2_embeddings, op3_urls, op4_sentencepiece, op5_secrets, op6_minhash, op7_html, op8_decontamination, op9_chat, op10_pii, op11_merkle, op12_token_counts, op13_periods)
 }
+#: DuckDB: crc32 of the decimal doc_id, unsigned.
+_CRC = """xor(4294967295, list_reduce([ascii(c) for c in string_split(doc_id::varchar, '')], lambda a, c: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c::bigint)), 4294967295::bigint))"""
 SQL = {
     "op2_embeddings": """
 with recursive v as (select vec_id, [x::double for x in embedding] as e from embeddings),
@@ -156,14 +187,12 @@ reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from
 least as (select a, min(b) as b from reach group by a)
 select doc_id, len(s)::bigint as n_shingles, b as component_id, doc_id = b as kept from s join least on a = doc_id""",
     "op11_merkle": """
-with recursive b as (select *, [ascii(c) for c in string_split(doc_id::varchar, '')] as codes from documents),
-d as (
-  select *, xor(4294967295, list_reduce(codes, lambda a, c: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
-      lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c::bigint)), 4294967295::bigint)) % 3 = 0 as chosen,
+with recursive d as (
+  select *, {crc} % 3 = 0 as chosen,
     case when text is null then '-' else strlen(text) || ':' || text end as t,
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
     coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
-      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as f from b),
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as f from documents),
 leaves as (
   select row_number() over (order by lang nulls first, doc_id nulls first, sha256(f || t)) as id, doc_id, lang, sha256(f || t) as leaf,
     case when chosen then sha256(f || case when text is null then '-' else strlen(low) || ':' || low end) else sha256(f || t) end as used,
@@ -193,5 +222,29 @@ folded as (
     coalesce(list_reduce(steps, lambda m, s: {'a': sha256(s.a || m.a || s.b), 'b': ''}, {'a': used, 'b': ''}).a, used) as folded_root
   from leaves as x left join path using (id))
 select x.doc_id, x.leaf, s.h as subroot, r.h as root, x.proof_sha256, x.folded_root, x.folded_root = r.h as verified
-from folded as x join sub as s on s.g is not distinct from x.lang cross join (select h from top where n = 1) as r""",
+from folded as x join sub as s on s.g is not distinct from x.lang cross join (select h from top where n = 1) as r""".replace("{crc}", _CRC),
+    "op13_periods": r"""
+with t as (
+  select row_number() over () as id, doc_id, {crc} as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+u as (select *, len(w) as n, h // 10 as g from t),
+v as (select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from u where h % 10 = 0 and n > 0),
+d as (
+  select id, doc_id, n, [w[case when i <= a then i else a + (i - 1 - a) % p + 1 end] for i in range(1, n + 1)] as w from v
+  union all select id, doc_id, n, w from u where id not in (select id from v)),
+x as (select id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+same as (
+  select a.id, b.i - a.i as q, a.i from x as a join x as b on a.id = b.id and a.word = b.word and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+island as (select id, q, i, i - row_number() over (partition by id, q order by i) as k from same),
+stretch as (select id, q, min(i) as s, max(i) + 1 + q as e from island group by id, q, k having count(*) >= q),
+run as (
+  select * from stretch as r where e - s >= greatest(6, 4 * q)
+    and not exists (select 1 from stretch as z where z.id = r.id and z.q < r.q and r.q % z.q = 0 and z.s <= r.s and z.e >= r.e)),
+gone as (select distinct id, unnest(range(s + q, e)) as i from run),
+kept as (select x.id, string_agg(x.word, ' ' order by x.i) as c from x left join gone using (id, i) where gone.i is null group by x.id),
+found as (
+  select id, count(*) as n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' order by s, q) as lines,
+    arg_min({'s': s, 'n': e - s, 'q': q}, {'n': s - e, 's': s, 'q': q}) as best from run group by id)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.n as length, best.q as period, 1000 * best.n // best.q as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(c, '')) as collapsed_sha256
+from d left join found using (id) left join kept using (id)""".replace("{crc}", _CRC),
 }
