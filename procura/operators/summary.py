@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from procura.functions.labels import branch_label, month_label
 from procura.functions.numeric import grouped, half_even, mean, ratio_or, sample_std, total, without_nulls
 from procura.functions.text import first_two_words
+from procura.operators.joins import join_per_key
 from procura.schema import (
     BLANK_NAMES,
     ID_COLUMNS,
@@ -75,7 +76,9 @@ def with_names(df: DataFrame, dim: DataFrame, *names: str) -> DataFrame:
 
 
 def canonical_names(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    return with_names(fact.drop("FANTASIA", "FORNECEDOR"), dim, "FANTASIA", "FORNECEDOR")
+    """The fact under the names of the dimension, which counts the rows of each supplier."""
+    names = dim.select("CODFORNEC", "FANTASIA", "FORNECEDOR", "N_REGISTROS")
+    return join_per_key(fact.drop("FANTASIA", "FORNECEDOR"), names, "CODFORNEC", "N_REGISTROS")
 
 
 def status(old: Column, new: Column, pct: Column) -> Column:
