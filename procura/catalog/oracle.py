@@ -143,7 +143,7 @@ SQL["filter_options"] = f"""{FATO} SELECT DISTINCT 'ANO' AS FILTRO, ANO::VARCHAR
 UNION ALL SELECT DISTINCT 'FILIAL', FILIAL::VARCHAR FROM fato UNION ALL SELECT DISTINCT 'CODCOMPRADOR', CODCOMPRADOR FROM fato"""
 SQL["supplier_labels"] = f"{FATO}{dim()} SELECT CODFORNEC, FANTASIA || '  ·  ' || CODFORNEC AS LABEL FROM dim"
 SQL["active_months"] = f"""{FATO} SELECT i::INTEGER AS MES_NUM, {MONTHS}[i] AS MES, {SHORT}[i] AS MES_LBL,
-  i IN (SELECT MES_NUM FROM fato WHERE ANO = 2001) AS ATIVO FROM range(1, 13) t(i)"""
+  i IN (SELECT MES_NUM FROM fato) AS ATIVO FROM range(1, 13) t(i)"""
 SQL["new_lost_suppliers"] = f"{FATO_PART}{comp(1999, 2000)} SELECT CODFORNEC, STATUS FROM comp WHERE STATUS IN ('NOVO', 'PERDIDO')"
 
 # --- aggregations ---------------------------------------------------------------------------
@@ -420,3 +420,11 @@ SQL["detector_summary_rule"] = f"""{_z} SELECT count(*) FILTER (ANOMALIA_Z) AS N
   count(*) FILTER (ANOMALIA_Z OR MES_NUM = 12) AS N_TOTAL, {he("avg((ANOMALIA_Z OR MES_NUM = 12)::INTEGER) * 100", 4)} AS PCT_TOTAL FROM z"""
 SQL["percentile_flag"] = f"""{FATO}, corte AS (SELECT quantile_cont(VALOR::DOUBLE, 0.05) AS q FROM fato)
 SELECT ANO, FILIAL, CODFORNEC, MES_NUM, {he("VALOR::DOUBLE - q")} AS ISO_SCORE, VALOR::DOUBLE - q < 0 AS ANOMALIA_ISO FROM fato, corte"""
+
+# --- two loads: the result does not show how the rows came in --------------------------------
+
+for _name in ("consolidated", "supplier_dim", "yoy_status", "dq_checks"):
+    SQL[f"refresh_{_name}"] = SQL[_name]
+SQL["active_months_by_year"] = f"""{FATO} SELECT a.ANO, i::INTEGER AS MES_NUM, {SHORT}[i] AS MES_LBL, count(fato.ANO) AS N,
+  coalesce(sum(VALOR)::DOUBLE, 0) AS VALOR, count(fato.ANO) > 0 AS ATIVO
+  FROM (SELECT DISTINCT ANO FROM fato) AS a CROSS JOIN range(1, 13) AS t(i) LEFT JOIN fato ON fato.ANO = a.ANO AND fato.MES_NUM = i GROUP BY a.ANO, i"""

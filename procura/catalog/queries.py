@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from procura.operators import (
     display,
     forecast,
     forest,
+    partials,
     profile,
     quality,
     ranking,
@@ -29,6 +31,7 @@ from procura.schema import AMOUNT, MONTHS, WIDE_COLUMNS
 from procura.sources import sheets
 from procura.sources.retail import build_fact, fact, part_names, purchase_lines, wide
 from procura.sources.tables import read_table, shared_folder, staged
+from procura.sources.versions import Version
 
 YEARS = list(range(1995, 2002))
 YEAR_A, YEAR_B = 1999, 2000
@@ -236,8 +239,12 @@ def supplier_labels(spark, d):
 
 @query
 def active_months(spark, d):
-    """Months of the last year; not all of them have rows."""
-    return selection.calendar_activity(fact(spark, d).filter(F.col("ANO") == YEARS[-1]))
+    return selection.calendar_activity(fact(spark, d))
+
+
+@query
+def active_months_by_year(spark, d):
+    return selection.activity_by_year(fact(spark, d))
 
 
 @query
@@ -460,10 +467,14 @@ def concentration_table(spark, d):
 @query
 def dq_checks(spark, d):
     """Order lines as a fact with returns, missing amounts and repeated keys in it."""
+    ledger = _ledger(spark, d)
+    return quality.check(ledger.select("ANO", "FILIAL", "CODFORNEC", "MES").distinct(), ledger)
+
+
+def _ledger(spark, d):
     lines = purchase_lines(spark, d, "l_suppkey", ("l_returnflag", "l_discount"))
     amount = F.when(F.col("l_discount") == 0, None).when(F.col("l_returnflag") == "R", -F.col("VALOR")).otherwise(F.col("VALOR"))
-    ledger = lines.select("ANO", "FILIAL", "CODFORNEC", labels.month_name(F.col("MES_NUM")).alias("MES"), amount.alias("VALOR"))
-    return quality.check(ledger.select("ANO", "FILIAL", "CODFORNEC", "MES").distinct(), ledger)
+    return lines.select("ANO", "FILIAL", "CODFORNEC", labels.month_name(F.col("MES_NUM")).alias("MES"), amount.alias("VALOR"))
 
 
 @query
@@ -476,7 +487,54 @@ def dq_checks_clean(spark, d):
 def qa_report(spark, d):
     rows = fact(spark, d, "part")
     sheets_rows = rows.select("ANO", "FILIAL", "CODFORNEC").distinct()
-    return quality.report(sheets_rows, rows, summary.consolidate(rows), YEAR_A, YEAR_B)
+    return quality.report(sheets_rows, rows, YEAR_A, YEAR_B)
+
+
+# --- two loads ------------------------------------------------------------------------------
+
+
+def _two_loads(spark, d, table, first, second):
+    """A table by year, published twice: the first load has wrong rows of the last year it knows, which the second
+    replaces beside the years that follow."""
+    folder = f"{shared_folder(spark)}/loads-{_mark(d)}-{uuid.uuid4().hex}"
+    for rows, carry in ((first, False), (second, True)):
+        version = Version(spark, folder)
+        version.write(table, rows, by_year=True, carry=carry)
+        version.publish()
+    return read_table(spark, folder, table)
+
+
+def _refreshed_states(spark, d, rows):
+    early = rows.filter(F.col("ANO") <= YEAR_A).withColumn("VALOR", F.when(F.col("ANO") == YEAR_A, -F.col("VALOR")).otherwise(F.col("VALOR")))
+    late = rows.filter(F.col("ANO") >= YEAR_A)
+    return _two_loads(spark, d, "estado_compras", partials.state(early), partials.state(late))
+
+
+@query
+def refresh_consolidated(spark, d):
+    return partials.consolidate(_refreshed_states(spark, d, fact(spark, d)))
+
+
+@query
+def refresh_supplier_dim(spark, d):
+    rows = _renamed_fact(spark, d).withColumn("CODCOMPRADOR", F.lit("C"))
+    return partials.supplier_dim(_refreshed_states(spark, d, rows))
+
+
+@query
+def refresh_yoy_status(spark, d):
+    return partials.annual_comparison(_refreshed_states(spark, d, fact(spark, d, "part")), YEAR_A, YEAR_B)
+
+
+@query
+def refresh_dq_checks(spark, d):
+    """The rows of dq_checks in two loads."""
+    ledger = _ledger(spark, d)
+    keys = ledger.select("ANO", "FILIAL", "CODFORNEC", "MES").distinct()
+    early, late = F.col("ANO") <= YEAR_A, F.col("ANO") >= YEAR_A
+    # in the first load the last year has no amounts
+    first = partials.line_counts(keys.filter(early), ledger.filter(early).withColumn("VALOR", F.when(F.col("ANO") < YEAR_A, F.col("VALOR"))))
+    return quality.findings_of(_two_loads(spark, d, "estado_linhas", first, partials.line_counts(keys.filter(late), ledger.filter(late))))
 
 
 # --- forecast -------------------------------------------------------------------------------

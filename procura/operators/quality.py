@@ -2,58 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura.functions.numeric import grouped, half_even
-from procura.operators.summary import annual_comparison
-from procura.schema import FACT_KEY, STATUS_LOST, STATUS_NEW
-
-
-def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows beyond the first of each key. Null keys compare equal."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
-
-
-def _fact_counts(fact: DataFrame) -> DataFrame:
-    """Null, negative and repeated rows in one pass over the fact."""
-    per_key = fact.groupBy(*FACT_KEY).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("VALOR").isNull()).alias("nulls"),
-        F.count_if(F.col("VALOR") < 0).alias("negatives"),
-    )
-    return per_key.agg(
-        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
-        F.coalesce(F.sum("negatives"), F.lit(0)).alias("negatives"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"),
-    )
+from procura.operators import partials
+from procura.schema import ID_COLUMNS, STATUS_LOST, STATUS_NEW
+from procura.sources.tables import durable
 
 
 def check(wide: DataFrame, fact: DataFrame) -> DataFrame:
     """Findings (ORDEM, NIVEL, N, MENSAGEM); a single OK row when nothing is wrong."""
-    counts = _fact_counts(fact)
-    rows = counts.select(
-        F.inline(
-            F.array(
-                _finding(1, F.col("nulls"), "linhas sem valor"),
-                _finding(2, F.col("negatives"), "linhas com valor abaixo de zero"),
-                _finding(3, F.col("repeated"), "linhas a mais por chave do fato"),
-            )
-        )
-    )
-    repeated = _repeated(wide, ["ANO", "FILIAL", "CODFORNEC"])
-    rows = rows.unionByName(
-        repeated.select(F.inline(F.array(_finding(4, F.col("n"), "linhas a mais por fornecedor e filial"))))
+    return findings_of(partials.line_counts(wide, fact))
+
+
+def findings_of(counts: DataFrame) -> DataFrame:
+    """Findings from the counts per year."""
+    listed = F.array(
+        _finding(1, F.col("NULOS"), "linhas sem valor"),
+        _finding(2, F.col("NEGATIVOS"), "linhas com valor abaixo de zero"),
+        _finding(3, F.col("REPETIDAS"), "linhas a mais por chave do fato"),
+        _finding(4, F.col("REPETIDAS_PLANILHA"), "linhas a mais por fornecedor e filial"),
     )
-    with_ok = rows.agg(F.sum("N").alias("all"), F.collect_list(F.struct("ORDEM", "NIVEL", "N", "MENSAGEM")).alias("f"))
     passed = F.struct(
         F.lit(0).alias("ORDEM"),
         F.lit("OK").alias("NIVEL"),
         F.lit(0).cast("long").alias("N"),
         F.lit("nada a corrigir").alias("MENSAGEM"),
     )
-    faults = F.filter("f", lambda r: r["N"] > 0)
-    return with_ok.select(F.inline(F.when(F.col("all") > 0, faults).otherwise(F.array(passed))))
+    faults = partials.total_counts(counts).select(F.filter(listed, lambda r: r["N"] > 0).alias("f"))
+    return faults.select(F.inline(F.when(F.size("f") > 0, F.col("f")).otherwise(F.array(passed))))
 
 
 def _finding(order: int, n: Column, text: str) -> Column:
@@ -70,35 +50,36 @@ def exit_status(findings: DataFrame) -> int:
     return 0 if findings.filter(F.col("NIVEL") == "ERRO").isEmpty() else 1
 
 
-def report(
-    wide: DataFrame, fact: DataFrame, consolidated: DataFrame, year_a: int, year_b: int, findings: DataFrame | None = None
-) -> DataFrame:
-    """Quality report as rows (SECAO, ITEM, VALOR text). findings: those of check() if they are known already."""
+def report(wide: DataFrame, fact: DataFrame, year_a: int, year_b: int) -> DataFrame:
+    """Quality report as rows (SECAO, ITEM, VALOR text). The fact is scanned twice: for its state and for its keys."""
+    states, counts = durable(partials.state(fact)), durable(partials.line_counts(wide, fact))
+    return report_of(states, counts, year_a, year_b)
+
+
+def report_of(states: DataFrame, counts: DataFrame, year_a: int, year_b: int, findings: DataFrame | None = None) -> DataFrame:
+    """The report from partial states alone. findings: those of findings_of() if they are known already."""
 
     def rows(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
         return df.select(F.lit(section).alias("SECAO"), item.cast("string").alias("ITEM"), value.cast("string").alias("VALOR"))
 
-    counts = fact.agg(
-        F.count("*").alias("linhas_fato"),
+    whole = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ID_COLUMNS])
+    sizes = states.agg(
+        F.coalesce(F.sum("N"), F.lit(0)).alias("linhas_fato"),
         F.count_distinct("CODFORNEC").alias("fornecedores"),
-    ).unpivot([], ["linhas_fato", "fornecedores"], "ITEM", "VALOR")
-    size = consolidated.agg(F.count("*").alias("n"))
+        F.count_if(whole).alias("linhas_consolidado"),
+    ).unpivot([], ["linhas_fato", "fornecedores", "linhas_consolidado"], "ITEM", "VALOR")
     # Few distinct values each: branches, years and buyers are the report's own list items.
     listed = [
-        rows(fact.select(c).distinct().dropna(), section, F.col(c), F.lit(None).cast("string"))
+        rows(states.select(c).distinct().dropna(), section, F.col(c), F.lit(None).cast("string"))
         for section, c in (("FILIAIS", "FILIAL"), ("ANOS", "ANO"), ("COMPRADORES", "CODCOMPRADOR"))
     ]
-    sums = grouped(fact, "ANO", "FILIAL").agg(F.sum("VALOR").alias("v"))
-    status = annual_comparison(fact, year_a, year_b).filter(F.col("STATUS").isin(STATUS_NEW, STATUS_LOST))
-    findings = check(wide, fact) if findings is None else findings
+    sums = grouped(states, "ANO", "FILIAL").agg(F.sum("SOMA").alias("v"))
+    status = partials.annual_comparison(states, year_a, year_b).filter(F.col("STATUS").isin(STATUS_NEW, STATUS_LOST))
+    findings = findings_of(counts) if findings is None else findings
     parts = [
-        rows(size, "CONTAGENS", F.lit("linhas_consolidado"), F.col("n")),
         *listed,
         rows(sums, "TOTAIS", F.concat_ws("/", "ANO", "FILIAL"), F.format_number(half_even(F.col("v")), 2)),
         rows(findings, "VALIDACOES", F.col("NIVEL"), F.col("MENSAGEM")),
         rows(status, "STATUS", F.col("CODFORNEC"), F.col("STATUS")),
     ]
-    out = rows(counts, "CONTAGENS", F.col("ITEM"), F.col("VALOR"))
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    return functools.reduce(DataFrame.unionByName, parts, rows(sizes, "CONTAGENS", F.col("ITEM"), F.col("VALOR")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procura.functions.labels import month_label, month_name
+from procura.functions.numeric import grouped, total
 from procura.schema import STATUS_LOST, STATUS_NEW
 
 
@@ -58,5 +59,19 @@ def calendar_activity(fact: DataFrame) -> DataFrame:
     )
 
 
+def activity_by_year(fact: DataFrame) -> DataFrame:
+    """Every year of the fact with its twelve months: rows, total, and whether any row falls in the month."""
+    sums = grouped(fact, "ANO", "MES_NUM").agg(F.count("*").alias("N"), total().alias("VALOR"))
+    months = sums.select("ANO").distinct().select("ANO", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("MES_NUM"))
+    return months.join(sums, ["ANO", "MES_NUM"], "left").select(
+        "ANO",
+        "MES_NUM",
+        month_label(F.col("MES_NUM")).alias("MES_LBL"),
+        F.coalesce("N", F.lit(0)).alias("N"),
+        F.coalesce("VALOR", F.lit(0.0)).alias("VALOR"),
+        F.col("N").isNotNull().alias("ATIVO"),
+    )
+
+
 def new_and_lost(comparison: DataFrame) -> DataFrame:
     return comparison.filter(F.col("STATUS").isin(STATUS_NEW, STATUS_LOST)).select("CODFORNEC", "STATUS")

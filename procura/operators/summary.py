@@ -39,11 +39,13 @@ def supplier_dim(fact: DataFrame) -> DataFrame:
 
     Counts per (supplier, names) come first, so the second step sees one row per spelling.
     """
-    spellings = (
-        without_nulls(fact, "CODFORNEC")
-        .groupBy("CODFORNEC", "FORNECEDOR", "FANTASIA")
-        .agg(F.count("*").alias("n"))
+    return most_frequent_names(
+        without_nulls(fact, "CODFORNEC").groupBy("CODFORNEC", "FORNECEDOR", "FANTASIA").agg(F.count("*").alias("n"))
     )
+
+
+def most_frequent_names(spellings: DataFrame) -> DataFrame:
+    """The dimension from (CODFORNEC, FORNECEDOR, FANTASIA, n)."""
     by_name = spellings.select(
         "CODFORNEC",
         "n",

@@ -12,12 +12,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from procura.schema import FACT_ORDER
+from procura.sources import versions
 
 _lock = threading.RLock()
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A table of the published version, or the plain table of a folder without one."""
+    published = versions.table(spark, folder, name)
+    return published if published is not None else spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def optional_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
