@@ -95,7 +95,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
             aliases.append((name, one))
         direct.append((name, spans))
         given.setdefault(name, []).append(one)
-    return direct + [(name, spans) for name, one in aliases if (spans := _resolved(one, given))]
+    known: dict[int, list[tuple[int, int]] | None] = {}
+    return direct + [(name, spans) for name, one in aliases if (spans := _resolved(one, given, known))]
 
 
 class _Given(NamedTuple):
@@ -106,19 +107,19 @@ class _Given(NamedTuple):
     source: str | None
 
 
-def _resolved(one: _Given, given: dict[str, list[_Given]]) -> list[tuple[int, int]] | None:
+def _resolved(one: _Given, given: dict[str, list[_Given]], known: dict[int, list[tuple[int, int]] | None]) -> list[tuple[int, int]] | None:
     """The literal at the end of an alias's chain: of each name the last one given before the alias, else the first one after
-    it; null if there is none or the chain is a cycle."""
+    it; null if there is none or the chain is a cycle. known: answers so far by place, so a chain is walked once."""
     if one.source not in given:
         return None
-    seen = set()
-    while one.source in given:
-        if one.at in seen:
-            return None
-        seen.add(one.at)
+    seen: dict[int, None] = {}
+    while one.source in given and one.at not in known and one.at not in seen:
+        seen[one.at] = None
         places = given[one.source]
         one = places[max(bisect_left(places, one.at, key=lambda g: g.at) - 1, 0)]
-    return one.spans
+    answer = known[one.at] if one.at in known else None if one.at in seen else one.spans
+    known.update(dict.fromkeys(seen, answer))
+    return answer
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -137,7 +138,17 @@ def literal_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         by_name = name_score(name)
         if by_name >= 2 and by_name + literal_score("".join(text[a:b] for a, b in spans)) >= SCORE:
             found.update((a, 3, b) for a, b in spans if a < b)
-    return sorted(s for s in found if not any(b[0] <= s[0] and s[2] <= b[2] for b in base))
+    return [s for s, held in _held(sorted(found), base) if not held]
+
+
+def _held(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], bool]]:
+    """Each span with whether a base span holds it; one sweep over both sorted lists."""
+    at, reach = 0, -1
+    for span in spans:
+        while at < len(base) and base[at][0] <= span[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        yield span, span[2] <= reach
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

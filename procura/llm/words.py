@@ -1,19 +1,23 @@
 """Vectorised word hashing over Arrow string columns.
 
 A text column is read as one byte buffer. Words are maximal runs of word bytes; a word's hash is a
-64-bit polynomial over its (mapped) bytes. Work goes through windows of about a megabyte that end at
+64-bit polynomial over its (mapped) bytes, of long words, where different ones with equal polynomials can be written
+down, a keyless BLAKE2b digest. Work goes through windows of about a megabyte that end at
 word borders, so memory stays bounded for texts of any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 20
+#: Bytes from which on a word is digested.
+LONG = 48
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -70,9 +74,15 @@ class Words(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
     sums: np.ndarray
+    data: np.ndarray
+    lower: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return mix(self._before(self.ends) - self._before(self.starts))
+        found = mix(self._before(self.ends) - self._before(self.starts))
+        for i in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+            word = self.lower[self.data[self.starts[i] : self.ends[i]]].tobytes()
+            found[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return found
 
     def prefix_hashes(self, length: int) -> np.ndarray:
         """Hash of the first `length` bytes; for shorter words the same as hashes()."""
@@ -124,7 +134,7 @@ def windows(buffer: Buffer, is_word: np.ndarray, lower: np.ndarray = LOWER, join
             term = (lower[part[places]].astype(np.uint64) + np.uint64(1)) * powers[places - np.repeat(starts, lengths)]
             sums[places + 1] = term
             np.cumsum(sums, out=sums)
-        yield Words(at, starts + at, ends + at, sums)
+        yield Words(at, starts + at, ends + at, sums, data, lower)
         at = stop
 
 

@@ -72,3 +72,25 @@ def test_literals_pass_on_by_position_bare_or_quoted_and_under_long_names():
     assert held("a" * 90 + '_PASSWORD = "Zr8pQ2mX7pLw4TfR"\n') == {"Zr8pQ2mX7pLw4TfR"}
     assert held('PRIVATE_KEY = "sk_test_Zr8pQ2mX7pLw"\nPASSWORD = "your_default"\n') == {"sk_test_Zr8pQ2mX7pLw"}
     assert held("PASSWORD_KEY = a\na = b\nb = a\n") == set()
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    text = "password=abcdef1Z9 " * 120_000 + "\n" + "".join(f"a{i} = a{i + 1}\n" for i in range(20_000)) + 'a20000 = "kT9x-Qw3z-Lp7v"\nSECRET_KEY = a0\n'
+    base = secrets.base_spans(text)
+    found = secrets.literal_spans(text, base)
+    assert time.perf_counter() - start < 60
+    assert len(base) == 120_000
+    assert [text[a:b] for a, _, b in found] == ["kT9x-Qw3z-Lp7v"]
+
+
+def test_spans_inside_base_spans_are_left_out():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        draw = lambda n: sorted({(a, k, a + rng.randint(1, 9)) for a, k in ((rng.randrange(40), rng.randrange(3)) for _ in range(n))})
+        spans, base = draw(12), draw(6)
+        assert [h for _, h in secrets._held(spans, base)] == [any(b[0] <= s[0] and s[2] <= b[2] for b in base) for s in spans]

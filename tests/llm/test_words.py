@@ -46,3 +46,21 @@ def test_shingle_sets_of_short_and_empty_rows():
     sets = list(W.shingles(*W.word_hashes(W.buffer_of(pa.array(rows))), 5))
     assert [len(s) for s in sets] == [2, 2, 1, 0, 0, 1]
     assert np.array_equal(sets[0], sets[1]) and not np.array_equal(sets[2], sets[5])
+
+
+def fold(n):
+    """Thue-Morse word of 2 ** n letters and its complement: equal under every polynomial modulo 2 ** 64."""
+    bits = [bin(i).count("1") % 2 for i in range(2**n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_built_to_collide_have_different_hashes():
+    import pyarrow as pa
+
+    from procura.llm.words import buffer_of, word_hashes
+
+    for n in (6, 10, 11):
+        hashes, _ = word_hashes(buffer_of(pa.array([" ".join(fold(n))])))
+        assert len(hashes) == 2 and hashes[0] != hashes[1]
+    same, _ = word_hashes(buffer_of(pa.array(["É" + "A" * 90 + " x É" + "a" * 90])))
+    assert same[0] == same[2]
