@@ -3,18 +3,25 @@
 Validated values are permuted within their own format by keyed Feistel networks, so equal values get equal pseudonyms in
 every document and different values different ones:
 
-- card: 13 to 19 digits with a right Luhn sum, blanks or hyphens allowed; all digits but the last are permuted and the
-  last is computed anew, so the pseudonym passes Luhn too
-- phone: 10 to 15 digits after `+`, or a grouped national number; the digits after the country code are permuted
+- card: 13 to 19 digits with a right Luhn sum, groups parted by blanks or by hyphens; all digits but the last are
+  permuted and the last is computed anew, so the pseudonym passes Luhn too
+- phone: 10 to 15 digits after `+`, or a grouped national number; the digits after the country code of E.164 are permuted,
+  so all spellings of a number share their digits
 - ssn: ddd-dd-dddd with a possible area, group and serial; permuted within the possible ones
 - ipv4: four numbers up to 255; permuted over all addresses
-- iban: right check digits; letters stay letters and digits digits, check digits are computed anew
-- date: a date of the calendar from 1900-01-01 to 2100-05-02 as yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy;
-  permuted within that range
+- iban: the length of its country and right check digits; letters stay letters and digits digits, check digits are
+  computed anew
+- date: a date of the calendar from 1900-01-01 to 2100-05-02 as yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy, day and
+  month also of one digit; permuted within that range. All spellings of a date share theirs; a day-first and a
+  month-first pseudonym may therefore read alike
 - email: letters and digits of the local part keep their class; the domain stays
 
-Values that fail validation are left alone. Defined cases: null text stays null, empty text empty; repeated rows get the
-same result; a text of any length is cut once at its matches.
+Where a value begins every length is tried and the longest valid one counts, so digits that follow a card or an IBAN do
+not hide it. To find them without a second reading, the valid cards and IBANs of a text become alternatives of the
+pattern by which it is cut; of values that overlap the leftmost counts, at one place the first kind in the order of
+KINDS. A value does not begin or end inside a word or a longer number. Values that fail validation are left alone.
+Defined cases: null text stays null, empty text empty; repeated rows get the same result; a text of any length is cut once
+at its matches; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,17 +31,32 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("email", "iban", "ipv4", "date", "ssn", "card", "phone")
-#: Formats of the kinds, tried in this order at each place.
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_DAY, _MONTH = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])"
+#: Formats of the kinds.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv4": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?:\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{10,15}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+    "ipv4": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "date": rf"(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|{_DAY}\.{_MONTH}\.[0-9]{{4}}|{_DAY}/{_MONTH}/[0-9]{{4}}|{_MONTH}/{_DAY}/[0-9]{{4}})(?![0-9])",
+    "ssn": r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?!-?[0-9])",
+    "card": r"[0-9](?:(?: ?[0-9]){12,18}|(?:-?[0-9]){12,18})(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{4}|\+[0-9]{1,3}[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{10,15}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){3,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
 }
-ANY = r"(?<![A-Za-z0-9_.+%-])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+#: Country codes of one and of two digits; all others have three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Before a value: no letter or digit, and of a number with points not its middle.
+_FREE = r"(?<![A-Za-z0-9])"
+_APART = r"(?<![A-Za-z0-9]|[0-9]\.)"
+_CARD_PLACES = [_FREE + rf"(?=([0-9](?:{between}?[0-9]){{12,18}}(?![0-9])))" for between in " -"]
+_IBAN_PLACES = _FREE + r"(?=((?:" + "|".join(c for group in IBAN_LENGTHS.values() for c in group.split()) + r")[0-9]{2}(?: ?[A-Z0-9]){11,28}))"
 
 
 def _is(value: Column, kind: str) -> Column:
@@ -124,8 +146,8 @@ def refill(pattern: Column, digits: Column) -> Column:
 
 def _date(value: Column) -> Column:
     day_first = F.regexp_replace(value, "/", ".")
-    month_first = F.concat_ws(".", F.substring(value, 4, 2), F.substring(value, 1, 2), F.substring(value, 7, 4))
-    found = F.coalesce(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")), F.try_to_timestamp(day_first, F.lit("dd.MM.yyyy")), F.try_to_timestamp(month_first, F.lit("dd.MM.yyyy")))
+    month_first = F.regexp_replace(value, "^([0-9]+)/([0-9]+)/([0-9]+)$", "$2.$1.$3")
+    found = F.coalesce(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")), F.try_to_timestamp(day_first, F.lit("d.M.yyyy")), F.try_to_timestamp(month_first, F.lit("d.M.yyyy")))
     return F.to_date(found)
 
 
@@ -145,13 +167,12 @@ def _pseudonym(value: Column, key: str) -> Column:
     day = F.datediff(_date(value), F.lit(_FIRST_DAY).cast("date"))
     moved = feistel(F.floor(day / _RIGHT_DAYS), day % _RIGHT_DAYS, _LEFT_DAYS, _RIGHT_DAYS, key, "date")
     new_day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (moved["l"] * _RIGHT_DAYS + moved["r"]).cast("int"))
-    day_first = F.try_to_timestamp(F.regexp_replace(value, "/", "."), F.lit("dd.MM.yyyy")).isNotNull()
-    date = (
-        F.when(value.contains("-"), F.date_format(new_day, "yyyy-MM-dd"))
-        .when(value.contains("."), F.date_format(new_day, "dd.MM.yyyy"))
-        .when(day_first, F.date_format(new_day, "dd/MM/yyyy"))
-        .otherwise(F.date_format(new_day, "MM/dd/yyyy"))
-    )
+    day_first = F.try_to_timestamp(F.regexp_replace(value, "/", "."), F.lit("d.M.yyyy")).isNotNull()
+    padded = value.rlike("^[0-9]{2}[./][0-9]{2}[./]")
+    date = F.when(value.contains("-"), F.date_format(new_day, "yyyy-MM-dd"))
+    for holds, order in ((value.contains("."), "dd.MM.yyyy"), (day_first, "dd/MM/yyyy"), (F.lit(True), "MM/dd/yyyy")):
+        short = order.replace("dd", "d").replace("MM", "M")
+        date = date.when(holds & padded, F.date_format(new_day, order)).when(holds, F.date_format(new_day, short))
 
     area, group, serial = F.substring(digits, 1, 3).cast("int"), F.substring(digits, 4, 2).cast("int"), F.substring(digits, 6, 4).cast("int")
     real_ssn = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
@@ -165,7 +186,7 @@ def _pseudonym(value: Column, key: str) -> Column:
     check = F.pmod(F.lit(10) - luhn_sum(F.concat(payload, F.lit("0"))) % 10, F.lit(10))
     card = refill(value, F.concat(payload, check.cast("string")))
 
-    country = F.length(F.regexp_extract(value, r"^\+([0-9]{1,3})(?=[ .(-])", 1))
+    country = F.when(value.startswith("+"), F.length(F.regexp_extract(digits, _COUNTRY, 1))).otherwise(F.lit(0))
     phone = refill(value, F.concat(F.substring(digits, F.lit(1), country), permute_digits(F.substring(digits, country + 1, F.length(digits)), key, "phone")))
 
     body = permute_classes(F.substring(compact, F.lit(5), F.length(compact)), key, "iban")
@@ -178,7 +199,7 @@ def _pseudonym(value: Column, key: str) -> Column:
     return (
         F.when(_is(value, "email"), pair("email", F.concat(permute_classes(local, key, "email"), F.lit("@"), domain)))
         .when(_is(value, "iban") & (_iban_rest(compact) == 1), pair("iban", _spaced(value, new_iban)))
-        .when(_is(value, "ipv4") & F.forall(octets, lambda x: x <= 255), pair("ipv4", ip))
+        .when(_is(value, "ipv4"), pair("ipv4", ip))
         .when(_is(value, "date") & day.between(0, _LEFT_DAYS * _RIGHT_DAYS - 1), pair("date", date))
         .when(_is(value, "ssn") & real_ssn, pair("ssn", ssn))
         .when(_is(value, "card") & (luhn_sum(digits) % 10 == 0), pair("card", card))
@@ -200,17 +221,56 @@ def _spaced(pattern: Column, compact: Column) -> Column:
     return done["out"]
 
 
+def _valid_card(candidate: Column) -> Column:
+    """The longest valid card at the beginning of a run of digits, or null."""
+
+    def valid(n: Column) -> Column:
+        digits = F.regexp_replace(F.substring(candidate, F.lit(1), n), "[ -]", "")
+        ends = F.substring(candidate, n, F.lit(1)).rlike("[0-9]") & ~F.substring(candidate, n + 1, F.lit(1)).rlike("[0-9]")
+        return ends & F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+    return F.substring(candidate, F.lit(1), F.get(F.filter(F.sequence(F.length(candidate), F.lit(13), F.lit(-1)), valid), 0))
+
+
+def _valid_iban(candidate: Column) -> Column:
+    """The part of a run of capitals and digits that has the length of its country, if its check digits are right."""
+    lengths = F.create_map(*[F.lit(x) for n, group in IBAN_LENGTHS.items() for c in group.split() for x in (c, n)])
+    wanted = F.try_element_at(lengths, F.substring(candidate, 1, 2))
+    upto = lambda n: F.replace(F.substring(candidate, F.lit(1), n), F.lit(" "), F.lit(""))
+    places = F.filter(F.sequence(F.lit(15), F.length(candidate)), lambda n: (F.length(upto(n)) == wanted) & (F.substring(candidate, n, F.lit(1)) != " "))
+    found = F.substring(candidate, F.lit(1), F.get(places, 0))
+    return F.when(_iban_rest(F.replace(found, F.lit(" "), F.lit(""))) == 1, found)
+
+
+def _alternatives(text: Column, places: list[str], valid) -> Column:
+    """The valid values at the places of a text, longest first, as alternatives of a pattern; empty if there are none."""
+    candidates = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in places]))
+    found = F.array_distinct(F.filter(F.transform(candidates, valid), lambda v: v.isNotNull()))
+    longest = F.sort_array(F.transform(found, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False)
+    return F.when(F.size(found) > 0, F.concat(F.lit(f"{_FREE}(?:"), F.array_join(F.transform(longest, lambda v: v["v"]), "|"), F.lit(")(?![A-Za-z0-9])|"))).otherwise(F.lit(""))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Columns of `docs` with `text` rewritten, and `pii` array<string>: the kinds replaced, in order of place.
 
     key: secret of the permutation; the same key gives the same pseudonyms everywhere.
     """
-    rest = [c for c in docs.columns if c not in ("text", "pii")]
+    kept = [c for c in docs.columns if c != "pii"]
+    rows = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(kept)])
     text = F.col("text")
-    matched = docs.select(*rest, text, F.when(text.rlike("@|[0-9].?[0-9]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("__found"))
-    some = F.size("__found") > 0
-    pieces = matched.withColumn("__new", F.when(some, F.transform("__found", lambda m: _pseudonym(m, key))))
-    between = F.split(text, ANY, -1)
-    joined = F.concat_ws("", F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new.text"), i), F.lit("")))))
-    kinds = F.filter(F.coalesce(F.col("__new.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())
-    return pieces.select(*rest, F.when(some, joined).otherwise(text).alias("text"), kinds.alias("pii")).select(*[c for c in docs.columns if c != "pii"], "pii")
+    none = F.lit("")
+    rows = rows.withColumns({
+        "ibans": F.when(text.rlike(_IBAN_PLACES), _alternatives(text, [_IBAN_PLACES], _valid_iban)).otherwise(none),
+        "cards": F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), _alternatives(text, _CARD_PLACES, _valid_card)).otherwise(none),
+    })
+    before = F.lit(rf"(?<![A-Za-z0-9_.+%-]){PATTERNS['email']}|")
+    between_ = F.lit("".join(f"{_APART}{PATTERNS[k]}|" for k in ("ipv4", "date", "ssn")))
+    rows = rows.withColumn("pattern", F.concat(before, F.col("ibans"), between_, F.col("cards"), F.lit(rf"(?<![A-Za-z0-9+]|[0-9]\.){PATTERNS['phone']}")))
+    rows = rows.withColumn("found", F.when(text.rlike("@|[0-9].?[0-9]|[0-9][./]"), F.regexp_extract_all(text, F.col("pattern"), F.lit(0))))
+    some = F.size("found") > 0
+    rows = rows.withColumn("new", F.when(some, F.transform("found", lambda m: _pseudonym(m, key))))
+    pieces = F.split(text, F.col("pattern"), -1)
+    joined = F.concat_ws("", F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("new.text"), i), F.lit("")))))
+    kinds = F.filter(F.coalesce(F.col("new.kind"), F.array().cast("array<string>")), lambda k: k.isNotNull())
+    rewritten = F.when(some, joined).otherwise(text)
+    return rows.select(*[rewritten.alias("text") if c == "text" else F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], kinds.alias("pii"))
