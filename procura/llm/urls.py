@@ -3,8 +3,9 @@
 A rule `host/path` fits a host and its subdomains if the URL's path starts with the rule's; the longest rule wins. URLs
 that a rule decides are the labelled examples of the model: accepted and rejected, plus hosts with a seed word, which
 count as rejected. A rule that blocks only a path says nothing about its host and gives no examples. Two variable-order Markov models over characters (up to `ORDER` characters of context, Witten-Bell
-smoothing from each order to the next lower one) give the log-likelihood difference per character. What rules are
-written in, the registrable domain and the first path segment, is masked, since a URL without a rule never shares it.
+smoothing from each order to the next lower one) give the log-likelihood difference per character of host, path and query.
+Masked is only what decides the labels: the last label of the host, labels that a rule names, and, on hosts for which a
+rule has a path, as many leading path segments as that rule has.
 
 The limit is calibrated: the difference that at most `false_rejects` of the accepted URLs exceed, each scored by a model
 trained on the other half of the hosts. URLs above it are blocked. Examples are distinct texts with digit runs written
@@ -18,6 +19,7 @@ of examples every URL is allowed; rows are judged one by one, repeated or not.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +57,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("string"))
 
 
-def _scored_text(host: Column, path: Column) -> Column:
-    """Host without its registrable domain, and path without its first segment; a run of digits is one 0."""
+def query_of(url: Column) -> Column:
+    """What stands between `?` and `#`; empty without it."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^?#]*\?([^#]*)", 1)
+
+
+def _scored_text(host: Column, path: Column, query: Column, rules: list[tuple[str, str]]) -> Column:
+    """Host, path and query without what decides the labels; a run of digits is one 0."""
+    parts = [(rule.partition("/")[0], len([p for p in rule.partition("/")[2].split("/") if p])) for _, rule in rules]
+    named = sorted({label for rule_host, _ in parts for label in rule_host.split(".")})
     labels = F.split(host, r"\.")
-    front = F.array_join(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0))), ".")
-    return F.regexp_replace(F.concat(F.lit("."), front, F.lit("/"), F.regexp_replace(path, r"^/[^/]*/?", "")), "[0-9]+", "0")
+    shown = F.filter(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), lambda c: ~c.isin(named))
+    rest = path
+    for depth in sorted({d for _, d in parts if d}):
+        there = [(host == h) | host.endswith("." + h) for h, d in parts if d == depth]
+        rest = F.when(reduce(Column.__or__, there), F.regexp_replace(path, f"^(?:/[^/]*){{1,{depth}}}", "")).otherwise(rest)
+    asked = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("."), F.array_join(shown, "."), rest, asked), "[0-9]+", "0")
 
 
 def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +142,9 @@ def _score(tables: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def judge(pages: DataFrame, rules: list[tuple[str, str]], false_rejects: float = 0.02) -> DataFrame:
     """(page_id, host, path, rule, verdict, ratio) per row of `pages` (page_id long, url string)."""
     host, path = split_url(F.col("url").cast("string"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", _scored_text(F.col("host"), F.col("path")))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"), query_of(F.col("url").cast("string")).alias("query"))
+    text = _scored_text(F.col("host"), F.col("path"), F.col("query"), rules)
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("text", text).drop("query")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(2)).cast("long"))
     verdicts = F.create_map(*[F.lit(x) for v, r in rules for x in (r, v)]) if rules else F.create_map().cast("map<string,string>")
     rows = rows.withColumn("by_rule", F.try_element_at(verdicts, F.col("rule")))

@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from procura.llm import urls
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -44,3 +46,82 @@ def test_smoothed_probabilities_sum_to_one():
     counts[np.random.default_rng(1).integers(0, len(counts), 500)] = 3
     p = np.exp(urls.log_probabilities(counts).astype(float)).reshape(-1, urls.SIZE)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and (p > 0).all()
+
+
+def test_the_telling_parts_of_a_url_are_scored(spark):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choices(["lib", "ra", "ry", "gar", "den", "mu", "se", "um"], k=3))
+    rows = [(i, f"https://{name()}.example.net/en/{i}") for i in range(400)] + [(1000 + i, f"https://{name()}.org/fr/{name()}/{i}") for i in range(200)]
+    rows += [(2000 + i, f"http://{rng.choice(['casino', 'poker', 'cheap'])}-{rng.choice(['pills', 'bets', 'casino'])}{i}.{rng.choice(['biz', 'com'])}/x") for i in range(150)]
+    probes = ["http://cheap-pills.biz/x", "http://library.biz/y", "http://casino.com", "http://garden.com/museum", "http://garden.com/casino-poker-pills", "http://garden.com/?q=casino-bets-poker"]
+    rows += [(9000 + i, u) for i, u in enumerate(probes)] + [(9900, "http://" + "library." * 20_000 + "com/" + "a/" * 50_000), (9901, probes[0]), (9901, probes[0])]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    ratio = [found[9000 + i].ratio for i in range(len(probes))]
+    verdict = [found[9000 + i].verdict for i in range(len(probes))]
+    assert verdict[0] == "block" and verdict[1] == "allow" and verdict[2] == "block" and verdict[3] == "allow"
+    assert len(set(ratio)) == len(probes) and ratio[4] > ratio[3] and ratio[5] > ratio[3]
+    assert found[9901].ratio == ratio[0] and found[9900].verdict in ("allow", "block")
+
+
+def scored_text(url):
+    import re
+
+    after = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", after)[0].lower()
+    path = re.match("[^?#]*", after[len(host) :])[0]
+    query = re.match(r"[^?#]*(?:\?([^#]*))?", after)[1]
+    labels = [x for x in host.split(".")[:-1] if x not in ("net", "example", "com", "org")]
+    if any(host == h or host.endswith("." + h) for h in ("example.net", "example.com", "org")):
+        path = re.sub("^/[^/]*", "", path)
+    return re.sub("[0-9]+", "0", "." + ".".join(labels) + path + ("?" + query if query else ""))
+
+
+def plain_model(texts):
+    """log P(next | context) by Witten-Bell smoothing over dictionaries."""
+    import math
+    from collections import Counter
+
+    symbols = lambda text: ["*"] * urls.ORDER + [chr(b).lower() if chr(b).lower() in urls.ALPHABET else "*" for b in text.encode()]
+    follow = {}
+    for text in texts:
+        chars = symbols(text)
+        for i in range(urls.ORDER, len(chars)):
+            for k in range(urls.ORDER + 1):
+                follow.setdefault("".join(chars[i - k : i]), Counter())[chars[i]] += 1
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / urls.SIZE
+        seen = follow.get(context)
+        if not seen:
+            return lower
+        n = sum(seen.values())
+        return seen[c] / (n + len(seen)) + len(seen) / (n + len(seen)) * lower
+
+    def logs(text):
+        chars = symbols(text)
+        return [math.log(p("".join(chars[i - urls.ORDER : i]), chars[i])) for i in range(urls.ORDER, len(chars))]
+
+    return logs
+
+
+def test_scores_equal_a_plain_model(spark):
+    import pytest
+
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choices(["tha", "ter", "ing", "casino", "-", "q9", "é"], k=3))
+    hosts = ["example.net/en", "example.net/fr", "example.com/de", "example.com/en", "org/fr", "biz/x", "casino.com/a"]
+    rows = [(i, f"http://{part()}.{rng.choice(hosts)}/{part()}{rng.choice(['', '?a=' + part(), '#z'])}") for i in range(400)]
+    found = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    good, bad = set(), set()
+    for i, url in rows:
+        seeded = set(found[i].host.replace("-", ".").split(".")) & set(urls.SEED_WORDS)
+        rule = found[i].rule
+        if seeded or rule == "net/":
+            bad.add((scored_text(url), xxhash.xxh64(found[i].host, seed=42).intdigest() & 1))
+        elif rule in ("example.net/en/", "org/fr/"):
+            good.add((scored_text(url), xxhash.xxh64(found[i].host, seed=42).intdigest() & 1))
+    reject, accept = (plain_model([text for text, _ in examples]) for examples in (bad, good))  # distinct per half of the hosts
+    for i, url in rows:
+        text = scored_text(url)
+        differences = [a - b for a, b in zip(reject(text), accept(text))]
+        assert found[i].ratio == pytest.approx(sum(differences) / len(differences), abs=2e-6)
