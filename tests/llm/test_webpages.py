@@ -43,3 +43,52 @@ def test_nulls_broken_markup_long_pages_and_repeats(spark):
     df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert [r.text for r in webpages.extract(df).collect()] == ["a", "a"]
     assert webpages.extract(df.limit(0)).collect() == []
+
+
+def story(i, words=120):
+    import random
+
+    rng = random.Random(i)
+    return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(words))
+
+
+def test_copies_and_versions_of_one_article_keep_it(spark):
+    body = f"<article><h1>Title</h1><p>{story(1)}</p><p>Summary</p><p>{story(2)}</p></article>"
+    rows = [(i, f"http://copy.org/{i}", PAGE.format(i=i, body=body)) for i in range(8)]
+    rows += [(100 + i, f"http://near.org/{i}", PAGE.format(i=i, body=body.replace("Summary", f"Summary {i}"))) for i in range(40)]
+    rows += [(200, "http://copy.org/0", rows[0][2])] * 3
+    found = extract(spark, rows)
+    assert {found[i] for i in [*range(8), 200]} == {f"Title\n{story(1)}\nSummary\n{story(2)}"}
+    assert all(found[100 + i] == f"Title\n{story(1)}\nSummary {i}\n{story(2)}" for i in range(40))
+
+
+def test_a_long_repeated_block_is_template_text(spark):
+    notice = "This text is shown on every page of this site, whatever the page is about, and it is longer than eighty characters."
+    page = "<html><body><div class=q1><p>Welcome to the site</p></div><div class=q2><p>{}</p><p>" + notice + "</p><p>{}</p></div><div class=q3>All rights kept</div></body></html>"
+    found = extract(spark, [(i, f"http://g.org/{i}", page.format(story(i), story(1000 + i))) for i in range(20)])
+    assert all(found[i] == f"{story(i)}\n{story(1000 + i)}" for i in range(20))
+
+
+def test_pages_of_another_layout_use_their_own_article(spark):
+    rows = [(i, f"http://l.org/{i}", f"<html><body><div class=top>Top line</div><div class=text><p>{story(i)}</p></div></body></html>") for i in range(12)]
+    rows += [(50, "http://l.org/x", f"<html><body><main><p>{story(77)}</p></main><div class=other>{story(78, 5)}</div></body></html>")]
+    found = extract(spark, rows)
+    assert all(found[i] == story(i) for i in range(12)) and found[50] == story(77)
+
+
+def test_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    cases = ["<div>" * 8000 + "x", "<section><p>" * 8000, "<title" * 20_000, '<x y="' * 20_000, "<x y='\"" * 20_000 + ">", "<p>" + "<span>" * 20_000, "<!--" * 50_000, "</div>" * 50_000 + "<", "<" * 200_000 + ">", "<li><ul>" * 8000 + "</p>" * 8000, "<style>" * 30_000, "a<b " * 100_000]
+    for case in cases:
+        start = time.perf_counter()
+        webpages.main_text(case * (1 + 1_000_000 // len(case) if case.startswith(("a<", "<!--")) else 1), None, [], frozenset())
+        assert time.perf_counter() - start < 5, case[:20]
+    assert webpages.main_text("<p>a <b c='>'>d</b> e < f <g h=\"", None, [], frozenset()) == "a d e < f <g h=\""
+
+
+def test_tokens_of_repeated_rows_do_not_cancel(spark):
+    page = PAGE.format(i=1, body=f"<article><p>{story(5)}</p></article>")
+    rows = [("h", 7, page)] * 4 + [("h", 8, PAGE.format(i=2, body=f"<article><p>{story(6)}</p><p>x</p></article>"))]
+    found = webpages.templates(spark.createDataFrame(rows, "host string, page long, html string")).first()
+    assert found.main == "html>body>article" and found.texts == 2 and found.constant == []
