@@ -163,6 +163,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
         F.col("id").alias("doc_id"), "item_id", "form", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.filter(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda s: s["x"] != 0).alias("slots"),
     )
+    pairs = stage(pairs, "pairs")
     # one row per hit without slots, one per slot otherwise; consistency is a one-to-one map of values per alignment
     alignment = ["doc_id", "item_id", "form", "n_windows", "shift"]
     flat = pairs.select(*alignment, "item_place", F.explode_outer("slots").alias("s"))

@@ -22,8 +22,14 @@ def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
         if mark == before:
             break
         before, tasks = tuple(mark), tasks_for(mark[0], 200_000)
-        following = stage(_oriented(_small_star(_large_star(current).coalesce(tasks), tasks)), "edges", tasks)
-        drop_stage(current)
+        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # least neighbours are written before the joins: only then may adaptive execution split a node with many neighbours
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", tasks)
+        large = stage(_large_star(both, least), "edges", tasks)
+        lower = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least", tasks)
+        following = stage(_oriented(_small_star(large, lower)), "edges", tasks)
+        for table in (current, least, large, lower):
+            drop_stage(table)
         current = following
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
@@ -39,20 +45,11 @@ def _oriented(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(both: DataFrame, least: DataFrame) -> DataFrame:
     """Link the larger neighbours of every node to its smallest neighbour (itself included)."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _oriented(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+def _small_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Link every node and its smaller neighbours to the smallest of them."""
-    edges = _oriented(edges)
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return (
-        edges.join(least, "a")
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .union(least.select("a", F.col("m").alias("b")))
-        .coalesce(tasks)
-    )
+    return edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))

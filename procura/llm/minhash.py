@@ -136,7 +136,8 @@ def _links(classes: DataFrame, texts: DataFrame, threshold: int, tasks: int) ->
     crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     buckets = stage(members.join(crowds, "key"), "buckets")
     fame = buckets.groupBy("rep").agg(F.sum("crowd").alias("fame"))
-    centres = buckets.join(fame, "rep").groupBy("key").agg(F.max(_rank()).alias("c")).select("key", "c.centre", "c.size")
+    # written first, so that the join with a crowded bucket may be split
+    centres = stage(buckets.join(fame, "rep").groupBy("key").agg(F.max(_rank()).alias("c")).select("key", "c.centre", "c.size"), "centres", tasks)
     starred = _compare(_compatible(buckets.join(centres, "key"), threshold).distinct(), classes, texts, threshold, tasks).filter("linked").select("a", "b")
     return starred.union(_rest(buckets, classes, texts, components(starred, tasks), threshold, tasks))
 
