@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procura.catalog import models
 from procura.functions import labels
 from procura.functions.numeric import coerce_number, half_even
 from procura.functions.text import clean_text, name_or_fallback, year_in_name
@@ -26,7 +27,6 @@ from procura.operators import (
     selection,
     summary,
 )
-from procura.plans import ml
 from procura.schema import AMOUNT, MONTHS, WIDE_COLUMNS
 from procura.sources import sheets
 from procura.sources.retail import build_fact, fact, part_names, purchase_lines, wide
@@ -579,32 +579,32 @@ def last_observation(spark, d):
 
 @query
 def rf_importance(spark, d):
-    return ml.staged_importances(spark, d)
+    return models.staged_importances(spark, d)
 
 
 @query
 def rf_forecast(spark, d):
-    return ml.staged_forest_forecast(spark, d)
+    return models.staged_forest_forecast(spark, d)
 
 
 @query
 def rf_cv_metrics(spark, d):
-    return ml.staged_cv(spark, d)
+    return models.staged_cv(spark, d)
 
 
 @query
 def forecast_final(spark, d):
-    return ml.staged_forecast(spark, d)
+    return models.staged_forecast(spark, d)
 
 
 @query
 def forecast_top20(spark, d):
-    return forecast.top_forecasts(ml.staged_forecast(spark, d), 20)
+    return forecast.top_forecasts(models.staged_forecast(spark, d), 20)
 
 
 @query
 def forecast_table(spark, d):
-    return display.forecast_table(ml.staged_forecast(spark, d))
+    return display.forecast_table(models.staged_forecast(spark, d))
 
 
 @query
@@ -615,27 +615,27 @@ def scaled_features(spark, d):
 
 @query
 def kmeans_selection(spark, d):
-    return ml.staged_selection(spark, d)
+    return models.staged_selection(spark, d)
 
 
 @query
 def clusters(spark, d):
-    return segments.bubble_sizes(ml.staged_clusters(spark, d))
+    return segments.bubble_sizes(models.staged_clusters(spark, d))
 
 
 @query
 def cluster_profiles(spark, d):
-    return segments.profiles(ml.staged_clusters(spark, d))
+    return segments.profiles(models.staged_clusters(spark, d))
 
 
 @query
 def cluster_sizes(spark, d):
-    return segments.cluster_sizes(ml.staged_clusters(spark, d))
+    return segments.cluster_sizes(models.staged_clusters(spark, d))
 
 
 @query
 def cluster_table(spark, d):
-    return display.cluster_table(ml.staged_clusters(spark, d))
+    return display.cluster_table(models.staged_clusters(spark, d))
 
 
 @query
@@ -662,23 +662,23 @@ def top_anomalies(spark, d):
 
 @query
 def isolation_forest(spark, d):
-    return ml.staged_anomalies(spark, d).select("ANO", "FILIAL", "CODFORNEC", "MES_NUM", "VALOR", "ISO_SCORE", "ANOMALIA_ISO")
+    return models.staged_anomalies(spark, d).select("ANO", "FILIAL", "CODFORNEC", "MES_NUM", "VALOR", "ISO_SCORE", "ANOMALIA_ISO")
 
 
 @query
 def anomalies_combined(spark, d):
-    found = ml.staged_anomalies(spark, d)
+    found = models.staged_anomalies(spark, d)
     return found.withColumn("FLAG", labels.detector_label(F.col("ANOMALIA_Z"), F.col("ANOMALIA_ISO")))
 
 
 @query
 def anomaly_summary(spark, d):
-    return anomalies.summary(ml.staged_anomalies(spark, d))
+    return anomalies.summary(models.staged_anomalies(spark, d))
 
 
 @query
 def ml_report(spark, d):
-    return ml.report(spark, d)
+    return models.report(spark, d)
 
 
 # --- rules that follow the models, on model outputs that SQL can express -----------------------
