@@ -323,12 +323,8 @@ def templates(pages: DataFrame, support: int = 8) -> DataFrame:
         ),
         "tokens",
     )
-    page_tokens = by_content.filter(F.col("kind") == PAGE)
-    whole = stage(
-        page_tokens.groupBy("host").agg(
-            F.sum("pages").alias("all_pages"), F.sum("chars").alias("all_chars"), F.sum("size").alias("all_size"), F.count(F.lit(1)).alias("texts")
-        ),
-        "hosts",
+    whole = tokens.filter(F.col("kind") == PAGE).select(
+        "host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"), F.col("size").alias("all_size"), F.col("contents").alias("texts")
     )
     classes = stage(tokens.filter(F.col("kind") != PAGE).groupBy("host", "vector").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "classes")
     valid = tokens.filter(F.col("kind") != PAGE).join(classes, ["host", "vector"], "left_semi").join(whole, "host").filter(F.col("pages") * 2 >= F.col("all_pages"))
