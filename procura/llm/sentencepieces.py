@@ -13,6 +13,7 @@ text has no ids; repeated rows are encoded one by one; a text without any cut is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.words import WINDOW, buffer_of, slices
+from procura.llm.words import LONG, WINDOW, buffer_of, mix, power_table, slices
 
 MARK = "▁"
 
@@ -38,8 +39,7 @@ def check_model(model) -> None:
 
 
 class ChunkTable:
-    """Ids of distinct chunks, found by their bytes. Holds about LIMIT chunks: a fuller table is emptied before a batch
-    adds to it."""
+    """Ids of distinct chunks by hash, of long ones by a digest. Holds at most LIMIT chunks: a full table is emptied before a batch adds to it."""
 
     LIMIT = 500_000
 
@@ -49,29 +49,37 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        #: Rows of the chunks inside a text, and of those that begin one.
-        self.rows: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+        self.keys, self.sizes = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.starts, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
-    def places(self, chunks: list[bytes], first: list[bool]) -> np.ndarray:
-        """Row in the table of each distinct chunk; new chunks are segmented and added."""
-        at = [self.rows[f].get(c) for c, f in zip(chunks, first, strict=True)]
-        new = [i for i, row in enumerate(at) if row is None]
-        if new:
-            if len(self.counts) > self.LIMIT:
+    def places(self, keys: np.ndarray, sizes: np.ndarray, text: Callable[[int], bytes], first: np.ndarray) -> np.ndarray:
+        """Row in the table of each distinct chunk; new chunks are segmented and added. A key found with another
+        byte length is a collision and stops the task."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            if len(self.keys) > self.LIMIT:
                 self._clear()
-                new = list(range(len(chunks)))
-            encoded = self._segment([chunks[i].decode() for i in new], [first[i] for i in new])
+                known[:] = False
+            new = np.flatnonzero(~known)
+            encoded = self._segment([text(i).decode() for i in new.tolist()], first[new])
             counts = np.array([len(x) for x in encoded])
-            for row, i in enumerate(new, len(self.counts)):
-                at[i] = self.rows[first[i]][chunks[i]] = row
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])])
-            self.counts = np.concatenate([self.counts, counts])
+            starts = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
+            all_keys = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(all_keys)
+            self.keys = all_keys[order]
+            self.sizes = np.concatenate([self.sizes, sizes[new]])[order]
+            self.starts = np.concatenate([self.starts, starts])[order]
+            self.counts = np.concatenate([self.counts, counts])[order]
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))])
-        return np.array(at, dtype=np.int64)
+            at = np.searchsorted(self.keys, keys)
+        if not np.array_equal(self.sizes[at], sizes):
+            raise ValueError("two chunks share a hash")
+        return at
 
-    def _segment(self, chunks: list[str], first: list[bool]) -> list[list[int]]:
+    def _segment(self, chunks: list[str], first: np.ndarray) -> list[list[int]]:
         """The library puts a marker in front of what it encodes: right for a text's first chunk, in place of the first
         space of a marked chunk, and to be dropped again before a line feed."""
         plain = [c if f or c[0] == "\n" else c[1:] for c, f in zip(chunks, first, strict=True)]
@@ -88,12 +96,12 @@ class ChunkTable:
         """Same ids as the library's encode() for every text; null counts as empty."""
         data, offsets = buffer_of(pc.replace_substring(texts.fill_null(""), MARK, " "))
         starts, first = _chunks(data, offsets)
-        bounds = np.append(starts, len(data)).astype(np.int64)
-        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]
-        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
-        distinct, place = np.unique(chunks.indices.to_numpy() * 2 + first, return_inverse=True)
-        values = chunks.dictionary.to_pylist()
-        at = self.places([values[d >> 1] for d in distinct.tolist()], [bool(d & 1) for d in distinct.tolist()])[place]
+        ends = np.append(starts[1:], len(data))
+        keys = _chunk_hashes(data, starts, ends) ^ np.where(first, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        distinct, example, place = np.unique(keys, return_index=True, return_inverse=True)
+        sizes = (ends - starts).astype(np.int32)[example]
+        raw, begin, end = data.tobytes(), starts[example].tolist(), ends[example].tolist()
+        at = self.places(distinct, sizes, lambda i: raw[begin[i] : end[i]], first[example])[place]
         counts = self.counts[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         picks = np.arange(upto[-1]) + np.repeat(self.starts[at] - upto[:-1], counts)
@@ -115,6 +123,24 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, heads[starts]
 
 
+def _chunk_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out, at = [], 0
+    while at < len(starts):
+        to = max(int(np.searchsorted(ends, starts[at] + WINDOW, side="right")), at + 1)
+        lengths = ends[at:to] - starts[at:to]
+        powers = power_table(int(lengths.max()))
+        begin = starts[at]
+        place = np.arange(ends[to - 1] - begin) - np.repeat(starts[at:to] - begin, lengths)
+        terms = (data[begin : ends[to - 1]].astype(np.uint64) + np.uint64(1)) * powers[place]
+        hashes = mix(np.add.reduceat(terms, starts[at:to] - begin))
+        for i in np.flatnonzero(lengths > LONG).tolist():
+            chunk = data[starts[at + i] : ends[at + i]].tobytes()
+            hashes[i] = int.from_bytes(blake2b(chunk, digest_size=8).digest(), "little")
+        out.append(hashes)
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
 _tables: dict[str, ChunkTable] = {}
 
 
