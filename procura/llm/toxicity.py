@@ -2,22 +2,23 @@
 
 Categories are predicted in order; each linear model sees the probabilities of the categories before it. The
 chain is trained with out-of-fold predictions, so a later model meets earlier probabilities as unsure as those it
-will get on new documents. Categories: `insult` and `contempt` are weak labels (a document labelled toxic that has
-a seed word of the category), `toxic` is the label itself and decides.
+will get on new documents. Categories are label columns, `quality` and then `toxic`, which decides. Weak categories
+may come before them: a document labelled toxic that holds one of a category's seed words.
 
 Features: presence of words and of their first 3 to 6 bytes (lower-cased ASCII), hashed into 2^18 slots. Of these
-at most `FEATURES` slots with the highest significant chi-square against the label are kept, so the model is bounded. The
-chain is fitted on at most `sample` labelled documents, those with the least hash of their id; this bound also makes
-the ids small enough to broadcast, so fitting moves no texts. Every document is scored.
-
-Defined cases: null or empty text has no features and gets the intercept's probability, but is never rejected;
-null labels and labels of unknown documents are ignored; without both classes in the labels or any telling feature nothing is rejected;
-repeated rows are scored one by one; a null id is scored like any other.
+at most `FEATURES` slots are kept, for each label column an equal share of those with its highest significant chi-square, so the
+model is bounded. The chain is fitted on at most `sample` labelled documents, those with the least hash of their id; this bound also
+makes the ids small enough to broadcast, so fitting moves no texts. Every document is scored.
+
+Defined cases: null or empty text has no features and is never rejected (its last probability is 0, the earlier ones follow the
+intercepts); a null in one label leaves the row out of that category alone, rows without the last label are ignored, as are labels of
+unknown documents; a label of one class makes its link constant; without both classes in the last label or any telling feature nothing
+is rejected; repeated rows are scored one by one, repeated labels of a document count as the larger; a null id is scored like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,8 @@ from procura.llm.words import ALNUM, Buffer, buffer_of, slices, windows
 SLOT_BITS, FEATURES, PREFIXES, FOLDS = 18, 4096, (3, 4, 5, 6), 3
 #: Chi-square with one degree of freedom that a feature must exceed: about one chance in two thousand.
 SIGNIFICANT = 12.0
-CATEGORIES = ("insult", "contempt", "toxic")
-#: Seed words of the weak categories.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting", "vermin"),
-}
+#: Label columns, in the order of the chain.
+CATEGORIES = ("quality", "toxic")
 
 
 def document_slots(buffer: Buffer) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +106,18 @@ def fit_linear(rows: Rows, label: np.ndarray, decay: float = 1e-4, steps: int =
 
 def fit_chain(row: np.ndarray, column: np.ndarray, labels: np.ndarray) -> tuple[list[np.ndarray], float]:
     """Weights per category, and the threshold for the last one. Earlier probabilities enter later models out of fold
-    (fold = position mod FOLDS); the threshold is the one with the best F1 out of fold."""
+    (fold = position mod FOLDS); the threshold is the one with the best F1 out of fold. A row whose label of a category is
+    nan teaches that category nothing, but gets its probability."""
     count, chain, extra = len(labels), [], np.zeros((len(labels), 0))
     folds = np.arange(count) % FOLDS
     for c in range(labels.shape[1]):
-        rows = Rows(row, column, extra)
+        rows, known = Rows(row, column, extra), ~np.isnan(labels[:, c])
         held_out = np.zeros(count)
         for fold in range(FOLDS):
-            inside, outside = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
+            inside, outside = np.flatnonzero((folds != fold) & known), np.flatnonzero(folds == fold)
             held_out[outside] = sigmoid(rows.take(outside).score(fit_linear(rows.take(inside), labels[inside, c])))
-        chain.append(fit_linear(rows, labels[:, c]))
+        inside = np.flatnonzero(known)
+        chain.append(fit_linear(rows.take(inside), labels[inside, c]))
         extra = np.column_stack([extra, held_out])
     return chain, best_threshold(held_out, labels[:, -1])
 
@@ -140,42 +139,58 @@ def apply_chain(chain: list[np.ndarray], row: np.ndarray, column: np.ndarray, co
     return extra
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, list[np.ndarray], float] | None:
-    """(column of each slot, -1 for unused slots; the chain's weights; its threshold), or None if the labels hold one class only or no feature tells them apart."""
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = 20_000, categories: Sequence[str] = CATEGORIES, seeds: Mapping[str, Sequence[str]] | None = None
+) -> tuple[np.ndarray, list[np.ndarray], float] | None:
+    """(column of each slot, -1 for unused slots; the chain's weights; its threshold), or None if the last label holds one class only or no feature tells its classes apart."""
+    seeds, last = dict(seeds or {}), categories[-1]
+    truth = [f"y_{c}" for c in categories]
     marked = (
-        labels.filter("doc_id is not null and toxic is not null")
-        .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        labels.filter(F.col("doc_id").isNotNull() & F.col(last).isNotNull())
+        .groupBy(F.col("doc_id").alias("id"))
+        .agg(*[F.max(F.col(c).cast("int")).alias(f"y_{c}") for c in categories])
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+")
-    seeded = [F.arrays_overlap(words, F.lit(list(SEEDS[c]))).alias(c) for c in CATEGORIES[:-1]]
-    known = docs.join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", *seeded, "text")
-    known = stage(known.mapInArrow(_slot_lists, "doc_id long, toxic int, insult boolean, contempt boolean, slots array<int>"), "labelled")
-    n, positive = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    # a seeded row counts for its weak category only if the last label holds
+    weak = [(F.arrays_overlap(words, F.lit(list(seeds[c]))).cast("int") * F.col(f"y_{last}")).alias(f"y_{c}") for c in seeds]
+    fields = [f"y_{c}" for c in seeds] + truth
+    known = docs.join(F.broadcast(marked), docs["doc_id"] == marked["id"]).select("doc_id", *weak, *truth, "text")
+    known = stage(known.mapInArrow(_slot_lists, ", ".join(["doc_id long", *(f"{x} int" for x in fields), "slots array<int>"])), "labelled")
+    chosen: set[int] = set()
+    for column in reversed(truth):
+        telling = _telling_slots(known.filter(F.col(column).isNotNull()), column, FEATURES // len(truth))
+        if column == truth[-1] and not telling:
+            return None
+        chosen.update(telling)
+    slots_used = np.array(sorted(chosen), dtype=np.int64)
+    columns = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
+    columns[slots_used] = np.arange(len(slots_used))
+    used = F.array_intersect("slots", F.lit([int(x) for x in slots_used]).cast("array<int>"))
+    rows = known.select(*fields, used.alias("slots")).orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(sample).toArrow()
+    answers = np.column_stack([rows.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in fields])
+    slots = rows.column("slots").combine_chunks()
+    sizes = slots.value_lengths().to_numpy()
+    return columns, *fit_chain(np.repeat(np.arange(len(rows)), sizes), columns[slots.flatten().to_numpy()].astype(np.int64), answers)
+
+
+def _telling_slots(known: DataFrame, label: str, limit: int) -> list[int]:
+    """The slots with the highest significant chi-square against a 0/1 column."""
+    n, positive = known.agg(F.count(F.lit(1)), F.sum(label)).first()
     if not positive or positive == n:
-        return None
-    counted = known.select("toxic", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+        return []
+    counted = known.select(label, F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
     a, b = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
     c, d = positive - a, (n - positive) - b
     chi = n * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * positive * (n - positive))
-    best = counted.filter(F.col("n") < n).select("slot", chi.alias("chi")).filter(F.col("chi") > SIGNIFICANT).orderBy(F.desc("chi"), "slot").limit(FEATURES)
-    chosen = np.array(sorted(r.slot for r in best.collect()), dtype=np.int64)
-    if not len(chosen):
-        return None
-    columns = np.full(1 << SLOT_BITS, -1, dtype=np.int16)
-    columns[chosen] = np.arange(len(chosen))
-    used = F.array_intersect("slots", F.lit([int(x) for x in chosen]).cast("array<int>"))
-    rows = known.select("toxic", "insult", "contempt", used.alias("slots")).orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(sample).toArrow()
-    toxic = rows.column("toxic").to_numpy()
-    truth = np.column_stack([np.where(rows.column(x).to_numpy(zero_copy_only=False), toxic, 0) for x in CATEGORIES[:-1]] + [toxic])
-    slots = rows.column("slots").combine_chunks()
-    sizes = slots.value_lengths().to_numpy()
-    return columns, *fit_chain(np.repeat(np.arange(len(rows)), sizes), columns[slots.flatten().to_numpy()].astype(np.int64), truth)
+    best = counted.filter(F.col("n") < n).select("slot", chi.alias("chi")).filter(F.col("chi") > SIGNIFICANT).orderBy(F.desc("chi"), "slot").limit(limit)
+    return [r.slot for r in best.collect()]
+
 
+def scorer(columns: np.ndarray, chain: list[np.ndarray], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """names: of the probabilities, one per link of the chain."""
 
-def scorer(columns: np.ndarray, chain: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -183,24 +198,27 @@ def scorer(columns: np.ndarray, chain: list[np.ndarray]) -> Callable[[Iterator[p
                 column = columns[slot].astype(np.int64)
                 known = column >= 0
                 scores = apply_chain(chain, row[known], column[known], len(part))
-                empty = np.bincount(row, minlength=len(part)) == 0
-                scores[empty, -1] = np.minimum(scores[empty, -1], 0.0)
-                names = [n for n in part.schema.names]
-                yield pa.record_batch([part.column(n) for n in names] + [pa.array(scores[:, i]) for i in range(len(CATEGORIES))], names + [f"p_{c}" for c in CATEGORIES])
+                scores[np.bincount(row, minlength=len(part)) == 0, -1] = 0.0
+                yield pa.record_batch([*part.columns, *(pa.array(p) for p in scores.T)], [*part.schema.names, *names])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = 20_000) -> DataFrame:
-    """threshold: None takes the one found in training.
+def score(
+    docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = 20_000,
+    categories: Sequence[str] = CATEGORIES, seeds: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """threshold: None takes the one found in training. categories: 0/1 columns of `labels`, the last of which decides.
+    seeds: words of weak categories, which come before the others.
 
-    Columns of `docs` (doc_id, text and any others but p_* and toxic) with p_insult, p_contempt, p_toxic and toxic."""
-    own = [c for c in docs.columns if c not in {*(f"p_{x}" for x in CATEGORIES), "toxic"}]
+    Columns of `docs` (doc_id, text and any others but the new ones) with a probability p_<category> for each link, and toxic."""
+    names = [f"p_{c}" for c in [*(seeds or {}), *categories]]
+    own = [c for c in docs.columns if c not in {*names, "toxic"}]
     docs = docs.select(*own)
-    model = train(docs.select("doc_id", "text"), labels, sample)
+    model = train(docs.select("doc_id", "text"), labels, sample, categories, seeds)
     if model is None:
-        return docs.select("*", *[F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES], F.lit(False).alias("toxic"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"p_{c} double" for c in CATEGORIES])
+        return docs.select("*", *[F.lit(0.0).alias(x) for x in names], F.lit(False).alias("toxic"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{x}` double" for x in names])
     columns, chain, found = model
     limit = found if threshold is None else threshold
-    return docs.mapInArrow(scorer(columns, chain), schema).withColumn("toxic", F.col("p_toxic") >= limit)
+    return docs.mapInArrow(scorer(columns, chain, names), schema).withColumn("toxic", F.col(names[-1]) >= limit)
