@@ -12,8 +12,12 @@ A document is contaminated by an item if consistent hits cover at least `share`
 A bitmap of fixed size over the benchmark's window hashes thins the documents' windows before the join; its false
 hits fall out in the join, so its size limits nothing but speed. No text is shuffled.
 
+A window that many items share, such as a common stem, would join every document that has it with every such item. So documents
+first meet items in the items' rarest windows alone, so many of them that a document without any of them cannot reach `share`;
+only pairs that meet there are joined in full. This is exact, and a stem costs nothing unless it is `share` of an item by itself.
+
 Defined cases: null or empty texts have no windows; an item with fewer words than a window is matched by one window of
-its whole length, or by nothing if it has fewer than `LITERAL` words, which are too unspecific; repeated rows of a
+its whole length, or by nothing if it has fewer than `least_words` words, which are too unspecific; repeated rows of a
 document or an item count once; null ids are left out.
 """
 
@@ -23,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.llm.stage import stage
@@ -144,14 +148,14 @@ def _windows(lengths: list[int], bitmap: np.ndarray | None, whole_short: bool) -
 _FIELDS = "id long, n_windows long, size long, form long, place long, hash long, slots array<long>"
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least_words: int = LITERAL) -> DataFrame:
     """(doc_id, item_id, n_windows, n_hits, share, reworded) per document and benchmark item that it contains.
 
     n_windows: windows of the item; n_hits: those found in the document with consistent slots; reworded: whether a
-    slot's value differs. docs: doc_id, text. benchmark: item_id, text.
+    slot's value differs. docs: doc_id, text. benchmark: item_id, text. least_words: words of the shortest item that counts.
     """
     texts = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    items = stage(texts.mapInArrow(_windows(list(range(LITERAL, WINDOW_WORDS + 1)), None, True), _FIELDS).distinct(), "benchmark")
+    items = stage(texts.mapInArrow(_windows(list(range(min(least_words, WINDOW_WORDS), WINDOW_WORDS + 1)), None, True), _FIELDS).distinct(), "benchmark")
     lengths = sorted(r[0] for r in items.select("size").distinct().collect())
     bitmap = _bitmap(items)
     source = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -159,7 +163,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     item = items.select(
         F.col("id").alias("item_id"), "n_windows", "hash", "size", "form", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")
     )
-    pairs = hits.drop("n_windows").join(item, ["hash", "size", "form"]).select(
+    window = ["hash", "size", "form"]
+    # written first, so that the join with a popular item may be split
+    likely = stage(hits.select("id", *window).join(_rare(items, share), window).select("id", "item_id", "form", "n_windows").distinct(), "likely")
+    wanted = likely.join(item, ["item_id", "form", "n_windows"])
+    pairs = hits.drop("n_windows").join(wanted, ["id", *window]).select(
         F.col("id").alias("doc_id"), "item_id", "form", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.filter(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda s: s["x"] != 0).alias("slots"),
     )
@@ -180,6 +188,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     return best.filter(F.col("b.share") >= share).select("doc_id", "item_id", "b.n_windows", "b.n_hits", "b.share", "b.reworded")
 
 
+def _rare(items: DataFrame, share: float) -> DataFrame:
+    """(hash, size, form, item_id, n_windows): of each item and form the windows that fewest items have, one more than may be
+    missing: n - ceil(share * n) + 1 of n."""
+    common = items.groupBy("hash", "size", "form").agg(F.countDistinct("id").alias("common"))
+    order = Window.partitionBy("id", "form", "n_windows").orderBy("common", "hash", "place")
+    ranked = items.join(common, ["hash", "size", "form"]).withColumn("rank", F.row_number().over(order))
+    spare = F.col("n_windows") - F.ceil(F.col("n_windows") * share - 1e-9)
+    return stage(ranked.filter(F.col("rank") <= spare + 1).select("hash", "size", "form", F.col("id").alias("item_id"), "n_windows").distinct(), "rare")
+
+
 def _bitmap(items: DataFrame) -> np.ndarray:
     """2^22 bits, set where a benchmark window hash falls: half a megabyte whatever the benchmark's size."""
 

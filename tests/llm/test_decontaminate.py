@@ -92,3 +92,43 @@ def test_names_that_begin_sentences_may_be_others(spark):
         (3, "Zed has 4 apples in a basket. Zed gives her 6 more of them. Zed eats 1 and hands the rest to Zed."),
     ]
     assert {k: v.reworded for k, v in run(spark, docs, [(1, item)]).items()} == {(1, 1): True, (2, 1): True}
+
+
+def test_a_stem_of_all_items_makes_no_product(spark):
+    rng = random.Random(11)
+    stem = prose(rng, 14)
+    items = [(i, stem + " " + prose(rng, rng.randint(16, 30))) for i in range(400)] + [(400, stem)]
+    docs = [(d, prose(rng, 20) + " " + (items[d][1] if d % 10 == 0 else stem) + " " + prose(rng, 20)) for d in range(400)]
+    found = run(spark, docs, items)
+    # the stem alone is an item, which all documents hold; the others are held by those that quote them whole
+    assert set(found) == {(d, 400) for d in range(400)} | {(d, d) for d in range(0, 400, 10)}
+    windows = decontaminate.stage(
+        spark.createDataFrame(items, "id long, text string").mapInArrow(decontaminate._windows([10], None, True), decontaminate._FIELDS), "test"
+    )
+    rare = decontaminate._rare(windows, 0.5)
+    assert rare.groupBy("hash", "form").count().agg({"count": "max"}).first()[0] == 1
+
+
+def test_the_share_of_windows_that_decides_is_exact(spark):
+    rng = random.Random(12)
+    stem, items, docs = prose(rng, 25), [], []
+    for i in range(30):
+        items.append((i, stem + " " + prose(rng, rng.randint(0, 40)) if i % 2 else prose(rng, rng.randint(0, 40)) + " " + stem))
+    for d in range(60):
+        words = items[d % 30][1].split()
+        docs.append((d, " ".join(words[: rng.randint(8, len(words))]) + " " + prose(rng, 5)))
+    windows = lambda text: [tuple(text.split()[k : k + 10]) for k in range(len(text.split()) - 9)]
+    for share in (0.0, 0.3, 0.5, 0.9, 1.0):
+        hits = {(d, i): sum(w in set(windows(text)) for w in windows(item)) for d, text in docs for i, item in items}
+        want = {k for k, n in hits.items() if n and n / len(windows(items[k[1]][1])) >= share}
+        assert set(run(spark, docs, items, share)) == want
+
+
+def test_long_texts_and_the_length_of_the_shortest_item(spark):
+    rng = random.Random(13)
+    filler = prose(rng, 300) + " "
+    docs = [(1, filler * 500 + ITEM + " " + filler * 500), (2, filler * 1000)]
+    assert {k: v.reworded for k, v in run(spark, docs, [(1, ITEM)]).items()} == {(1, 1): False}
+    df, short = spark.createDataFrame([(1, "so one two it is")], "doc_id long, text string"), spark.createDataFrame([(3, "one two")], "item_id long, text string")
+    assert decontaminate.contaminations(df, short).count() == 0
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminations(df, short, least_words=2).collect()] == [(1, 3)]
