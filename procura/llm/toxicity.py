@@ -6,8 +6,8 @@ will get on new documents. Categories are label columns, `quality` and then `tox
 may come before them: a document labelled toxic that holds one of a category's seed words.
 
 Features: presence of words and of their first 3 to 6 bytes (lower-cased ASCII), hashed into 2^18 slots. Of these
-at most `FEATURES` slots are kept, for each label column an equal share of those with its highest significant chi-square, so the
-model is bounded. The chain is fitted on at most `sample` labelled documents, those with the least hash of their id; this bound also
+at most `FEATURES` slots are kept, those with the highest significant chi-square against the last label and `EARLIER_FEATURES` for each
+label before it, so the model is bounded. The chain is fitted on at most `sample` labelled documents, those with the least hash of their id; this bound also
 makes the ids small enough to broadcast, so fitting moves no texts. Every document is scored.
 
 Defined cases: null or empty text has no features and is never rejected (its last probability is 0, the earlier ones follow the
@@ -29,6 +29,8 @@ from procura.llm.stage import stage
 from procura.llm.words import ALNUM, Buffer, buffer_of, slices, windows
 
 SLOT_BITS, FEATURES, PREFIXES, FOLDS = 18, 4096, (3, 4, 5, 6), 3
+#: Of the features, so many for each label column before the last; its words are common ones, and each costs time in every document.
+EARLIER_FEATURES = 128
 #: Chi-square with one degree of freedom that a feature must exceed: about one chance in two thousand.
 SIGNIFICANT = 12.0
 #: Label columns, in the order of the chain.
@@ -160,7 +162,8 @@ def train(
     known = stage(known.mapInArrow(_slot_lists, ", ".join(["doc_id long", *(f"{x} int" for x in fields), "slots array<int>"])), "labelled")
     chosen: set[int] = set()
     for column in reversed(truth):
-        telling = _telling_slots(known.filter(F.col(column).isNotNull()), column, FEATURES // len(truth))
+        limit = FEATURES - EARLIER_FEATURES * (len(truth) - 1) if column == truth[-1] else EARLIER_FEATURES
+        telling = _telling_slots(known.filter(F.col(column).isNotNull()), column, limit)
         if column == truth[-1] and not telling:
             return None
         chosen.update(telling)
