@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,11 @@ from procura.schema import (
     REQUIRED_COLUMNS,
     WIDE_COLUMNS,
 )
+from procura.sources.headers import SCHEMES, with_headers
 
 SHEET_PATTERN = r"^FILIAL\s+\d+$"
 # .../<workbook>/<sheet>[/part-*]; folders may be written as name=value
-_EXTENSION = r"\.(csv|parquet)(?:\.(?:gz|bz2|zst|lz4|snappy))?$"
+_EXTENSION = r"\.(csv|parquet)(?:\.(gz|bz2|zst|lz4|snappy))?$"
 _PATH_PARTS = r"^(.*?/(?:[^/=]+=)?([^/]+))/(?:[^/=]+=)?([^/]+?)(?:(?i)" + _EXTENSION[:-1] + r")?(?:/part-[^/]*)?$"
 
 
@@ -65,36 +66,41 @@ def _provenance(path: Column) -> tuple[Column, Column, Column]:
 
 
 def _files(spark: SparkSession, *workbooks: str) -> DataFrame:
-    """Every file of the workbook folders: file, path, root, workbook, name, kind (null if it cannot be read)."""
+    """Every file of the workbook folders: file, path, root, workbook, name, kind (null if it cannot be read), packed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(workbooks))
     file = F.col("_metadata.file_path")
     root, workbook, name = _provenance(file)
-    kind = F.lower(F.regexp_extract(_plain(file), "(?i)" + _EXTENSION, 1))
+    kind, packed = (F.lower(F.regexp_extract(_plain(file), "(?i)" + _EXTENSION, i)) for i in (1, 2))
     return files.select(
-        file.alias("file"), _plain(file).alias("path"), root.alias("root"), workbook.alias("workbook"), name.alias("name"), F.nullif(kind, F.lit("")).alias("kind")
+        file.alias("file"), _plain(file).alias("path"), root.alias("root"), workbook.alias("workbook"), name.alias("name"),
+        F.nullif(kind, F.lit("")).alias("kind"), packed.alias("packed"),
     )
 
 
-def list_sheets(spark: SparkSession, *workbooks: str) -> list[Sheet]:
-    """Files of the workbook folders with their raw headers, in order of workbook and sheet.
-
-    CSV headers come from one text scan that keeps the first line of every file, so part files of one sheet may order
-    their columns differently. The list has a row per file, as Spark's own file index has.
-    """
-    files = _files(spark, *workbooks).filter("kind is not null").collect()
+def _scanned_headers(spark: SparkSession, files: list[Row]) -> dict[str, list[str]]:
+    """Headers by Spark's own readers, for files that a task cannot open by itself: one text scan that keeps the first
+    line of every CSV file, and the schema of each Parquet file."""
+    found = {r.file: spark.read.parquet(r.path).columns for r in files if r.kind == "parquet"}
     csv = [r.path for r in files if r.kind == "csv"]
-    lines = {}
     if csv:
         text = spark.read.text(csv).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
-        first = text.filter("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("line"))
-        lines = {r.file: r.line for r in first.collect()}
+        lines = text.filter("at = 0 and trim(value) <> ''").withColumn("n", F.monotonically_increasing_id())
+        first = lines.groupBy("file").agg(F.min_by("value", "n").alias("line"))
+        found |= {r.file: next(reader([r.line.removeprefix("\ufeff")]), []) for r in first.collect()}
+    return found
 
-    def columns(row) -> tuple[str, ...]:
-        if row.kind == "parquet":
-            return tuple(spark.read.parquet(row.path).columns)
-        return tuple(next(reader([lines.get(row.file, "").removeprefix("\ufeff")]), ()))
 
-    return [Sheet(r.workbook, r.name, r.path, r.kind, columns(r), r.root) for r in sorted(files, key=lambda r: (r.root, r.name, r.path))]
+def list_sheets(spark: SparkSession, *workbooks: str, schemes: tuple[str, ...] = SCHEMES) -> list[Sheet]:
+    """Files of the workbook folders with their raw headers, in order of workbook and sheet.
+
+    Tasks open the files side by side and read the first record or the footer only, so part files of one sheet may order
+    their columns differently. schemes: the stores they open; files elsewhere take Spark's readers. The list has a row per
+    file, as Spark's own file index has.
+    """
+    files = with_headers(_files(spark, *workbooks).filter("kind is not null"), schemes).collect()
+    scanned = _scanned_headers(spark, [r for r in files if r.header is None])
+    header = lambda r: tuple(scanned.get(r.file, ()) if r.header is None else r.header)
+    return [Sheet(r.workbook, r.name, r.path, r.kind, header(r), r.root) for r in sorted(files, key=lambda r: (r.root, r.name, r.path))]
 
 
 def read_sheets(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
@@ -108,7 +114,8 @@ def read_sheets(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
         source = spark.read.format(kind)
         if kind == "csv":
             schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-            source = source.option("header", True).schema(schema)
+            broken = any("\n" in c or "\r" in c for c in columns)  # such a file is read by one task
+            source = source.option("header", True).option("multiLine", broken).schema(schema)
         raw = source.load([s.path for s in group])
         raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns], *_provenance(F.col("_metadata.file_path")))
         parts.append(repair_headers(raw.toDF(*columns, "ROOT", "WORKBOOK", "SHEET")))
