@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from procura.functions.labels import month_name
 from procura.functions.text import clean_text, first_two_words
 from procura.schema import AMOUNT, FACT_COLUMNS, MONTHS
-from procura.sources.tables import dealt_by_rows, in_fact_order, read_table, staged
+from procura.sources.tables import dealt, dealt_by_rows, in_fact_order, read_table, staged, tasks_by_key
 
 
 def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return orders.join(customer.join(nation, "c_nationkey"), "o_custkey").select("o_orderkey", "FILIAL")
+    n = tasks_by_key(orders.select("o_custkey"), orders.count())
+    return dealt(orders, n, "o_custkey").join(dealt(customer.join(nation, "c_nationkey"), n, "o_custkey"), "o_custkey").select("o_orderkey", "FILIAL")
 
 
 def purchase_lines(spark: SparkSession, sf_dir: str, key: str = "l_suppkey", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -70,13 +71,18 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_fact(spark: SparkSession, sf_dir: str, by: str = "supplier") -> DataFrame:
     """Long fact at year x branch x supplier x month; `by` is 'supplier' or 'part'."""
     key, names = ("l_suppkey", supplier_names) if by == "supplier" else ("l_partkey", part_names)
-    monthly = (
-        purchase_lines(spark, sf_dir, key)
-        .groupBy("ANO", "MES_NUM", "FILIAL", "CODFORNEC")
-        .agg(F.sum("VALOR").cast(AMOUNT).alias("VALOR"))
-    )
+    n = line_count(spark, sf_dir)
+    months = ["ANO", "MES_NUM", "FILIAL", "CODFORNEC"]
+    tasks = tasks_by_key(read_table(spark, sf_dir, "lineitem").select(key), n)
+    lines = purchase_lines(spark, sf_dir, key)
+    # one shuffle by the key serves the sums and the names; a hot key is cut by month and branch for the sums
+    lines = dealt(lines, tasks, "CODFORNEC") if tasks else dealt_by_rows(lines, n, *months)
+    monthly = lines.groupBy(*months).agg(F.sum("VALOR").cast(AMOUNT).alias("VALOR"))
+    named = names(spark, sf_dir)
+    if not tasks:  # a key has one row per month and branch left
+        monthly, named = dealt_by_rows(monthly, n, "CODFORNEC"), dealt_by_rows(named, n, "CODFORNEC")
     return (
-        monthly.join(names(spark, sf_dir), "CODFORNEC")
+        monthly.join(dealt(named, tasks, "CODFORNEC"), "CODFORNEC")
         .withColumn("MES", month_name(F.col("MES_NUM")))
         .withColumn("DATA", F.make_date("ANO", "MES_NUM", F.lit(1)))
         .select(*FACT_COLUMNS)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from procura.schema import FACT_ORDER
 from procura.sources import versions
@@ -62,6 +63,21 @@ def dealt_by_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df if rows <= MANY_ROWS else df.repartition(-(-rows // TASK_ROWS), *keys)
 
 
+def tasks_by_key(keys: DataFrame, rows: int) -> int:
+    """How many tasks a table of so many rows is dealt to by a key. keys: its column of keys, cheap to read; nulls do not count.
+    0 if the table has up to MANY_ROWS or one key more than TASK_ROWS: a hot key is left to map-side sums and the session's skew joins."""
+    if rows <= MANY_ROWS:
+        return 0
+    key = F.col(keys.columns[0])
+    largest = keys.filter(key.isNotNull()).groupBy(key.alias("_key")).count().agg(F.max("count")).first()[0]
+    return -(-rows // TASK_ROWS) if (largest or 0) <= TASK_ROWS else 0
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df by hash of the keys in so many tasks; as it is for 0."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def drop_durable(*tables: DataFrame) -> None:
     """Delete the files of durable tables that nothing reads any more."""
     for df in tables:
