@@ -29,8 +29,8 @@ from procura.operators import (
 )
 from procura.schema import AMOUNT, MONTHS, WIDE_COLUMNS
 from procura.sources import sheets
-from procura.sources.retail import build_fact, fact, part_names, purchase_lines, wide
-from procura.sources.tables import dealt_by_rows, read_table, shared_folder, staged
+from procura.sources.retail import build_fact, fact, line_count, part_names, purchase_lines, wide
+from procura.sources.tables import dealt, dealt_by_rows, read_table, shared_folder, staged, tasks_by_key
 from procura.sources.versions import Version
 
 YEARS = list(range(1995, 2002))
@@ -268,15 +268,16 @@ def consolidated(spark, d):
 @query
 def supplier_dim(spark, d):
     """By part type: many names per key, so the mode has something to decide."""
-    rows = _renamed_fact(spark, d)
-    return summary.supplier_dim(rows)
+    tasks = tasks_by_key(read_table(spark, d, "lineitem").select("l_suppkey"), line_count(spark, d))
+    return summary.supplier_dim(dealt(_renamed_fact(spark, d), tasks, "CODFORNEC"))
 
 
 def _renamed_fact(spark, d):
     """Order lines keyed by supplier and named after the part bought: names vary within a key."""
     lines = purchase_lines(spark, d, "l_suppkey", ("l_partkey",))
     names = part_names(spark, d).select(F.col("CODFORNEC").alias("l_partkey"), "FORNECEDOR", "FANTASIA")
-    return lines.join(names, "l_partkey").withColumn(
+    tasks = tasks_by_key(read_table(spark, d, "lineitem").select("l_partkey"), line_count(spark, d))
+    return dealt(lines, tasks, "l_partkey").join(dealt(names, tasks, "l_partkey"), "l_partkey").withColumn(
         "FANTASIA", F.when(F.col("FANTASIA").startswith("RED"), None).otherwise(F.col("FANTASIA"))
     )
 
@@ -505,26 +506,28 @@ def _two_loads(spark, d, table, first, second):
     return read_table(spark, folder, table)
 
 
-def _refreshed_states(spark, d, rows):
+def _refreshed_states(spark, d, rows, n):
     early = rows.filter(F.col("ANO") <= YEAR_A).withColumn("VALOR", F.when(F.col("ANO") == YEAR_A, -F.col("VALOR")).otherwise(F.col("VALOR")))
     late = rows.filter(F.col("ANO") >= YEAR_A)
-    return _two_loads(spark, d, "estado_compras", partials.state(early), partials.state(late))
+    return _two_loads(spark, d, "estado_compras", partials.state(early, n), partials.state(late, n))
 
 
 @query
 def refresh_consolidated(spark, d):
-    return partials.consolidate(_refreshed_states(spark, d, fact(spark, d)))
+    rows = fact(spark, d)
+    return partials.consolidate(_refreshed_states(spark, d, rows, rows.count()))
 
 
 @query
 def refresh_supplier_dim(spark, d):
     rows = _renamed_fact(spark, d).withColumn("CODCOMPRADOR", F.lit("C"))
-    return partials.supplier_dim(_refreshed_states(spark, d, rows))
+    return partials.supplier_dim(_refreshed_states(spark, d, rows, line_count(spark, d)))
 
 
 @query
 def refresh_yoy_status(spark, d):
-    return partials.annual_comparison(_refreshed_states(spark, d, fact(spark, d, "part")), YEAR_A, YEAR_B)
+    rows = fact(spark, d, "part")
+    return partials.annual_comparison(_refreshed_states(spark, d, rows, rows.count()), YEAR_A, YEAR_B)
 
 
 @query

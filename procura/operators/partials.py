@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from procura.functions.numeric import half_even, without_nulls
 from procura.operators import summary
 from procura.schema import FACT_KEY, ID_COLUMNS
+from procura.sources.tables import dealt, dealt_by_rows, tasks_by_key
 
 _COUNTS = ["LINHAS", "NULOS", "NEGATIVOS", "REPETIDAS", "REPETIDAS_PLANILHA"]
 
 
-def state(fact: DataFrame) -> DataFrame:
-    """One pass over the fact, combined before the shuffle. Null keys form groups, so nothing is lost."""
+def state(fact: DataFrame, rows: int = 0) -> DataFrame:
+    """One pass over the fact. Null keys form groups, so nothing is lost. rows: how many there are at most; up to MANY_ROWS are
+    combined before the shuffle, more are dealt by group in tasks of about TASK_ROWS, for few of them share a group."""
     value = F.col("VALOR")
-    return fact.groupBy(*ID_COLUMNS).agg(
+    # without the buyer, who follows the supplier: a constant among the keys would be left out of the groups, not of the deal
+    return dealt_by_rows(fact, rows, *ID_COLUMNS[:-1]).groupBy(*ID_COLUMNS).agg(
         F.count("*").alias("N"),
         F.count(value).alias("N_VALOR"),
         F.sum(value).alias("SOMA"),
@@ -71,8 +74,10 @@ def consolidate(states: DataFrame) -> DataFrame:
 
 
 def supplier_dim(states: DataFrame) -> DataFrame:
-    """summary.supplier_dim from states."""
-    names = without_nulls(states, "CODFORNEC").groupBy("CODFORNEC", "FORNECEDOR", "FANTASIA").agg(F.sum("N").alias("n"))
+    """summary.supplier_dim from states, which are read from storage."""
+    rows = without_nulls(states, "CODFORNEC")
+    rows = dealt(rows, tasks_by_key(rows.select("CODFORNEC"), rows.count()), "CODFORNEC")  # one shuffle for all groups
+    names = rows.groupBy("CODFORNEC", "FORNECEDOR", "FANTASIA").agg(F.sum("N").alias("n"))
     return summary.most_frequent_names(names)
 
 

@@ -47,7 +47,7 @@ def main(
     wide = durable(sheets.scan_workbooks(spark, workbooks))
     version = Version(spark, staging)
     new = version.write("fato_compras", in_fact_order(reshape.to_fact(wide)), by_year=True, carry=refresh)
-    new_states = version.write("estado_compras", partials.state(new), by_year=True, carry=refresh)
+    new_states = version.write("estado_compras", partials.state(new, new.count()), by_year=True, carry=refresh)
     version.write("estado_linhas", partials.line_counts(wide, new), by_year=True, carry=refresh)
     version.write("consolidado_trimestre", partials.consolidate(new_states), by_year=True, carry=refresh)
     states, counts = version.read("estado_compras"), version.read("estado_linhas")

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from procura.operators import partials, summary
 from procura.sources import retail, tables
 
 
@@ -66,3 +67,14 @@ def test_fact_of_many_lines(spark, star, monkeypatch, by):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # customer, nation and supplier names are small and joined before; all others are dealt: 400 orders, 800 lines
     assert tasks.count(8) >= 2 and tasks.count(16) >= 4
+
+
+def test_states_and_dimension_of_many_rows(spark, make_fact, few_rows_a_task, monkeypatch):
+    fact = make_fact([(y, b, s, f"N{m % 3}", m, str(s * m + b)) for y in (2025, 2026) for b in (1, 2) for s in range(1, 11) for m in range(1, 13)])
+    fact = fact.withColumn("CODCOMPRADOR", F.lit("C"))
+    states = partials.state(fact, 480)
+    assert exchanges(states) == [10] and rows_of(states) == rows_of(partials.state(fact))
+    dim = partials.supplier_dim(states)
+    assert 3 in exchanges(dim) and rows_of(dim) == rows_of(summary.supplier_dim(fact))
+    hot = partials.supplier_dim(states.withColumn("CODFORNEC", F.lit(1).cast("long") + F.col("CODFORNEC") * 0))
+    assert hot.first().N_REGISTROS == 480
